@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one block of an Arrow stream holds at most (one longer text is a block by itself).
 BLOCK_BYTES = 8 << 20
 #: Words a task remembers the hash of; the memory is emptied beyond that.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

@@ -49,13 +49,13 @@ from .common import WordHash, blocks, mix, raw, spread, written
 from .elias_fano import EliasFano
 
 #: Length of n-grams; bytes of text of a block; training and other tokens for each shard; one in so many documents is held out.
-ORDER, BLOCK, SHARD, HELD = 2, 6 << 20, 2_000_000, 10
+ORDER, BLOCK, SHARD, HELD = 2, 4 << 20, 2_000_000, 10
 #: Codes of probabilities: steps of log10, as 16 bits; the last code is 0.
 STEP, ZERO = 4096.0, 65535
 #: Hashes that stand for the start of a text and its end.
 START, END = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xE7037ED1A0B428DB)
 #: Bytes of waiting blobs that a shard keeps in memory; n-grams that it adds up at once.
-WAIT, MERGE = 32 << 20, 3_000_000
+WAIT, MERGE = 16 << 20, 1_500_000
 
 
 def quantise(p: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from .common import WordHash, blocks, mix, raw, spread, written
 from .elias_fano import EliasFano
 
 #: Words of a window; bytes of text of a block; bytes of text for each shard.
-WINDOW, BLOCK, SHARD = 35, 12 << 20, 16 << 20
+WINDOW, BLOCK, SHARD = 35, 4 << 20, 16 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _WRAP = 1 << 64
 
