@@ -58,6 +58,8 @@ def band_keys(s: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+#: Bytes of text whose sets and sketches a task makes at once.
+BLOCK = 2 << 20
 #: A link: 100 * intersection >= LEVEL * union.
 LEVEL = 75
 #: Members, and their shingles, that a part of a bucket has about; a task compares two parts.
@@ -75,7 +77,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for b in (x for y in batches for x in blocks([y])):
+        for b in (x for y in batches for x in blocks([y], most=BLOCK)):
             sets = _sets(raw(b.column("text")), words)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(sizes)
@@ -100,7 +102,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for b in (x for y in batches for x in blocks([y])):
+        for b in (x for y in batches for x in blocks([y], most=BLOCK)):
             sets = _sets(raw(b.column("text")), words)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(sizes)
