@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import evals, runs, selection, texts  # noqa: F401  (they register themselves)
+from .queries.registry import ORACLES, QUERIES
+from .queries.runs import family_collapse as flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+__all__ = ["ORACLES", "QUERIES", "flagship"]
