@@ -14,8 +14,9 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-SCHEMA = "ratio double, edits long, unchanged boolean"
+SCHEMA = StructType([StructField("ratio", DoubleType()), StructField("edits", LongType()), StructField("unchanged", BooleanType())])
 
 
 def compare(o: str, c: str) -> tuple[float, int, bool]:

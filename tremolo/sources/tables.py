@@ -124,7 +124,7 @@ def load(
 def read_models(spark: SparkSession, runs_dir: str, dataset: str, order: list[str]) -> DataFrame:
     """All models' evaluations under `<runs_dir>/<model>__<dataset>/eval.csv`, with the model's name and place; names with `_` first are skipped."""
     df = read_csv(spark, f"{runs_dir}/*__{dataset}/eval.csv")
-    model = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)__{re.escape(dataset)}/eval\.csv$", 1)
+    model = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)__{re.escape(dataset)}/eval\.csv(?:/|$)", 1)
     place = F.array_position(F.array(*(F.lit(m) for m in order)), model)
     return df.withColumn("model", model).where(~F.startswith("model", F.lit("_"))).withColumn("model_order", place)
 
