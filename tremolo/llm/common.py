@@ -7,6 +7,7 @@ has them.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -39,11 +40,19 @@ def work_dir(spark: SparkSession, name: str, listed: bool = True) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, fixes what each task made, survives lost executors."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, fixes what each task made, survives lost executors.
+
+    rows: of an Arrow batch meanwhile, so that batches of wide rows stay small.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = work_dir(spark, name), spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +71,14 @@ def raw(text: pa.Array) -> list[bytes]:
     return [x or b"" for x in text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: a Python worker lives on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the stream in slices of bounded text, each batch cut by its own running text length."""
     for b in batches:
@@ -74,6 +91,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield b.slice(start, stop - start)
             start = stop
+        trim()
 
 
 class WordHash(dict):
