@@ -19,7 +19,6 @@ one of them. Empty tables give empty results; other columns are untouched.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, spread, work_dir, written
-
-#: Rows that one filter covers; cells for each row; cells that a hash sets; cells of a segment, the unit of merging.
-RANGE_KEYS, CELLS, PROBES, SEGMENT = 1 << 24, 8, 4, 1 << 20
-
+from .bloom import build_filter, halves, inside, size
+from .common import raw, work_dir, written
 
 def _digests(texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     d = [hashlib.sha256(x.lower()).digest() for x in texts]
     return [x.hex() for x in d], np.frombuffer(b"".join(x[:16] for x in d), dtype="<u8").reshape(-1, 2)
 
 
-def _cells(keys: np.ndarray, cells: int) -> np.ndarray:
-    """The cells of each hash (two 64-bit halves), by double hashing."""
-    i = np.arange(PROBES, dtype=np.uint64)
-    return ((keys[:, :1] + i * (keys[:, 1:] | np.uint64(1))) >> np.uint64(8)) & np.uint64(cells - 1)
-
-
 def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
     return (keys[:, 0] & np.uint64(255)) * np.uint64(ranges) >> np.uint64(8) if ranges > 1 else np.zeros(len(keys), dtype=np.uint64)
 
@@ -60,65 +50,9 @@ def digests(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _halves(b: pa.RecordBatch) -> np.ndarray:
-    return np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("hi", "lo")], axis=1)
-
-
-def build_filter(keys: DataFrame, cells: int) -> tuple[bytes, bytes]:
-    """First pass: bitmaps of the cells that are set at least once, and at least twice. keys: hi, lo."""
-    segment = min(cells, SEGMENT)
-
-    def bits(at: np.ndarray) -> bytes:
-        out = np.zeros(segment, dtype=np.uint8)
-        out[at] = 1
-        return np.packbits(out, bitorder="little").tobytes()
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_cells(_halves(b), cells).ravel() for b in batches]
-        if not held:
-            return
-        at, n = np.unique(np.concatenate(held), return_counts=True)
-        which = (at // np.uint64(segment)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(which, prepend=-1))
-        for lo, hi in zip(cut, [*cut[1:], len(at)]):
-            own = (at[lo:hi] % np.uint64(segment)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([which[lo]], pa.int64()), "once": [zlib.compress(bits(own), 1)], "twice": [zlib.compress(bits(own[n[lo:hi] > 1]), 1)]})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for s, *x in zip(*(b.column(c).to_pylist() for c in ("segment", "once", "twice"))):
-                once, twice = (np.frombuffer(zlib.decompress(y), dtype=np.uint8) for y in x)
-                if s in held:
-                    held[s] = [held[s][0] | once, held[s][1] | twice | (held[s][0] & once)]
-                else:
-                    held[s] = [once, twice]
-        for s, (once, twice) in held.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int64()), "once": [once.tobytes()], "twice": [twice.tobytes()]})
-
-    schema = "segment long, once binary, twice binary"
-    parts = max(1, min(spread(keys), cells // segment))
-    once, twice = bytearray(cells // 8), bytearray(cells // 8)
-    for row in keys.select("hi", "lo").mapInArrow(fill, schema).repartition(parts, "segment").mapInArrow(merge, schema).toLocalIterator():
-        at = row.segment * segment // 8
-        once[at : at + len(row.once)], twice[at : at + len(row.twice)] = row.once, row.twice
-    return bytes(once), bytes(twice)
-
-
-def _repeated(keys: np.ndarray, twice: np.ndarray, cells: int) -> np.ndarray:
-    at = _cells(keys, cells)
-    return ((twice[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-
-def _size(rows: int) -> tuple[int, int]:
-    """Ranges, and the cells of each one's filter."""
-    ranges = max(1, -(-rows // RANGE_KEYS))
-    return ranges, 1 << max(13, (max(1, rows // ranges) * CELLS - 1).bit_length())
-
-
 def flagged(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256, maybe (false: the text occurs once for certain)."""
-    ranges, cells = _size(docs.count())
+    ranges, cells = size(docs.count())
     ids = written(digests(docs, ranges), "digests")
     path = work_dir(docs.sparkSession, "flagged")
     schema = "doc_id long, text_sha256 string, maybe boolean"
@@ -129,7 +63,7 @@ def flagged(docs: DataFrame) -> DataFrame:
         def ask(batches: Iterator[pa.RecordBatch], twice=twice) -> Iterator[pa.RecordBatch]:
             bits = np.frombuffer(twice.value, dtype=np.uint8)
             for b in batches:
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_sha256": b.column("text_sha256"), "maybe": _repeated(_halves(b), bits, cells)})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_sha256": b.column("text_sha256"), "maybe": inside(halves(b), bits, cells)})
 
         own.select("doc_id", "text_sha256", "hi", "lo").mapInArrow(ask, schema).write.mode("append").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
@@ -147,7 +81,7 @@ def report(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without copies of a text but the one of the largest doc_id; same columns. Rows whose text occurs once are not shuffled."""
     names = docs.columns
-    ranges, cells = _size(docs.count())
+    ranges, cells = size(docs.count())
     if ranges > 1:  # one filter at a time fits: the rows to drop are found from their digests
         lost = report(docs).where("NOT kept").select("doc_id")
         return drop_repeats(docs.join(lost, "doc_id", "left_anti").select(*names), report(docs))
@@ -159,7 +93,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
         bits = np.frombuffer(twice.value, dtype=np.uint8)
         for b in batches:
             sha, keys = _digests(raw(b.column(names.index("text"))))
-            maybe = _repeated(keys, bits, cells)
+            maybe = inside(keys, bits, cells)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe), pa.array([s if m else None for s, m in zip(sha, maybe)], pa.string())], names=[*[f"c{i}" for i in range(len(names))], "maybe_repeated", "text_key"])
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])

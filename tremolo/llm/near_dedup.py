@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, components, mix, raw, shingles, written
+from .bloom import halves, hashed, id_filter, inside, without
+from .common import WordHash, blocks, components, mix, raw, shingles, trim, written
 
 #: Coordinates of a sketch, and coordinates of a band. At 0.75 a link shares no band with probability (1 - .75**5) ** 48 = 2e-6.
 T, ROWS = 240, 5
@@ -98,11 +99,20 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes), sketch (16 bits a coordinate) of the documents whose doc_id is a node of ids."""
+    """node, shingles (sorted 64-bit hashes), sketch (16 bits a coordinate) of the documents whose doc_id is a node of ids.
+
+    A filter of the ids keeps other texts from being shuffled; what it lets through by
+    mistake has no pair and does no harm. Too many ids for one filter are joined.
+    """
+    made = id_filter(ids)
+
+    def wanted(b: pa.RecordBatch) -> pa.RecordBatch:
+        shared, cells = made
+        return b.filter(pa.array(inside(halves(b), np.frombuffer(shared.value, dtype=np.uint8), cells)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for b in (x for y in batches for x in blocks([y], most=BLOCK)):
+        for b in (x for y in batches for x in blocks([wanted(y) if made else y], most=BLOCK)):
             sets = _sets(raw(b.column("text")), words)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(sizes)
@@ -110,7 +120,8 @@ def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 short = mix(sketches(np.concatenate(sets), sizes[full])).astype("<u2")
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(full)), pa.array([sets[i].tobytes() for i in full], pa.binary()), pa.array([s.tobytes() for s in short], pa.binary())], names=["node", "shingles", "sketch"])
 
-    rows = _plain(docs).where("doc_id IS NOT NULL").join(ids.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    own = _plain(docs).where("doc_id IS NOT NULL")
+    rows = own.select("*", *hashed("doc_id")) if made else own.join(ids.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     return rows.mapInArrow(run, "node long, shingles binary, sketch binary")
 
 
@@ -132,6 +143,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = (b.column(x).to_pylist() for x in ("a", "c"))
+            trim()
             yield b.select(["u", "v"]).filter(pa.array([linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(a, c)], pa.bool_()))
 
     left = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("c")), "v")
@@ -195,6 +207,7 @@ def crossing(active: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
 
         cell, held = None, []
         for b in batches:
+            trim()
             for key, band, node, comp, part, p, q, keys, s, sk in zip(*(b.column(c).to_pylist() for c in ("key", "band", "node", "component", "part", "p", "q", "bands", "shingles", "sketch"))):
                 if (key, p, q) != cell:
                     if held:
@@ -225,17 +238,16 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = written(signatures(docs), "signatures")
     valid = rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    groups = valid.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_equal"))
-    members = written(valid.select("doc_id", "set_key", "n_shingles").join(groups, "set_key").select("doc_id", "set_key", "n_shingles", "node", "n_equal"), "members")
-    nodes = valid.join(members.where("doc_id = node").select("doc_id", "set_key").distinct(), ["doc_id", "set_key"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands")
-    nodes = nodes.dropDuplicates(["node"])
+    # equal sets have equal bands: one of each, found before the shuffle where a task has several
+    nodes = written(valid.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_equal"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "nodes")
+    members = valid.select("doc_id", "set_key", "n_shingles").join(nodes.select("set_key", "node", "n_equal"), "set_key")
     keys = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1")
     full = written(keys.drop("n_shingles").join(centres, "key"), "buckets")
     pairs = written(full.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = written(candidate_sets(docs, ids).dropDuplicates(["node"]), "sets")
-    links = written(verified(pairs, sets), "links")
+    ids = written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "ids")
+    sets = written(candidate_sets(docs, ids), "sets")
+    links = written(verified(pairs, sets), "links", rows=500)
     so_far = components(links, "stars")
     marked = full.join(so_far, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"), "n", "size")
     mixed = marked.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
@@ -244,7 +256,8 @@ def classes(docs: DataFrame) -> DataFrame:
     active = written(active, "active")
     bands = nodes.select("node", "bands").join(active.select("node").distinct(), "node", "left_semi")
     twins = members.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v").select("u", "v")
-    final = components(links.unionByName(crossing(active, sets, bands)).unionByName(twins), "classes")
+    crossed = written(crossing(active, sets, bands), "crossed", rows=500)
+    final = components(links.unionByName(crossed).unionByName(twins), "classes")
     named = members.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), "n_equal")
     alone = rows.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"))
     return named.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "n_equal")
@@ -252,6 +265,4 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those whose class has a smaller doc_id; same columns."""
-    found = classes(docs)
-    lost = found.where("NOT kept").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, written(classes(docs).where("NOT kept").select(F.col("doc_id").alias("node")), "lost"))
