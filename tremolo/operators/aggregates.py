@@ -66,11 +66,43 @@ def _keyed(runs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return runs.dropna(subset=list(by)) if by else runs
 
 
+def level_cells(runs: DataFrame, hit: Column, *by: str) -> DataFrame:
+    """Sums of hits and of rows with a hit or miss for each group and level.
+
+    Groups' curves and the baseline of all groups both come from these few rows: neither
+    filters on keys, so one scan and one exchange serve both.
+    """
+    return runs.groupBy(*by, "level").agg(F.sum(hit.cast("long")).alias("hits"), F.count(hit).alias("n"), F.count("*").alias("rows"))
+
+
+def baseline(cells: DataFrame, value: Column) -> DataFrame:
+    """One row. It names every column of the cells, so that both uses of them have the same plan up to the exchange."""
+    return cells.agg(value, F.coalesce(F.sum("rows"), F.lit(0)).alias("_rows")).where("_rows >= 0").drop("_rows")
+
+
+def cell_accuracy(level: str) -> Column:
+    own = F.col("level") == level
+    return F.try_divide(F.sum(F.when(own, F.col("hits"))).cast("double"), F.sum(F.when(own, F.col("n"))).cast("double"))
+
+
+def stress_keys(*by: str) -> list[Column]:
+    return [F.sum(F.when(F.col("level") != "L0", F.col("rows"))).alias("_stress"), *(F.count(k).alias(f"_{k}") for k in by)]
+
+
+def has_stress(*by: str) -> Column:
+    """Groups with stress rows and without null keys, told by aggregates, which are not pushed below the exchange."""
+    out = F.col("_stress") > 0
+    for k in by:
+        out = out & (F.col(f"_{k}") > 0)
+    return out
+
+
 def level_accuracy(runs: DataFrame, *by: str, cutoff: float = CUTOFF) -> DataFrame:
     """A row for each group: accuracy at L1 to L5, at the baseline, tau and the collapse point."""
-    base = runs.where("level = 'L0'").agg(r4(accuracy(cutoff=cutoff)).alias("L0"))
-    acc = lambda level: F.avg(F.when(F.col("level") == level, correct(F.col("sim"), cutoff).cast("double")))
-    table = _keyed(runs.where("level <> 'L0'"), by).groupBy(*by).agg(*(r4(acc(v)).alias(v) for v in LEVELS))
+    hit = correct(F.col("sim"), cutoff)
+    cells = level_cells(runs, hit, *by)
+    base = baseline(cells, r4(cell_accuracy("L0")).alias("L0"))
+    table = cells.groupBy(*by).agg(*(r4(cell_accuracy(v)).alias(v) for v in LEVELS), *stress_keys(*by)).where(has_stress(*by))
     # the baseline is one row
     return table.join(F.broadcast(base)).select(*by, "L0", *LEVELS, r4(COLLAPSE * F.col("L0")).alias("tau"), collapse_point(COLLAPSE * F.col("L0")).alias("cp"))
 
@@ -128,9 +160,16 @@ def p_scores(runs: DataFrame, *by: str) -> DataFrame:
     return _keyed(runs, by).groupBy(*by).agg(p_score(stress=F.col("level") != "L0").alias("p_score")).where("p_score IS NOT NULL")
 
 
-def composite(p: DataFrame, f: DataFrame, key: str, epsilon: float = EPSILON) -> DataFrame:
-    """Primary (mean) and harmonic composite of P weighted by failure entropy, over groups that have both."""
-    both = p.join(f, key).agg(F.sum("fwe").alias("w"), F.sum(F.col("fwe") * F.col("p_score")).alias("wp"), F.sum(F.col("fwe") / (F.col("p_score") + epsilon)).alias("h"))
+def group_scores(runs: DataFrame, *by: str, threshold: float = CUTOFF) -> DataFrame:
+    """n, mean sim, P and failure entropy of each group, from one scan."""
+    stress = F.col("level") != "L0"
+    failed = F.coalesce(stress & F.col("score").isNotNull() & F.col("sim").isNotNull() & (F.col("sim") < threshold), F.lit(False))
+    return _keyed(runs, by).groupBy(*by).agg(F.count("*").alias("n"), r4(F.avg("sim")).alias("mean_sim"), p_score(stress=stress).alias("p_score"), entropy_weight(failed, F.col("score")).alias("fwe"))
+
+
+def composite(groups: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """Primary (mean) and harmonic composite of p_score weighted by fwe, over groups that have both."""
+    both = groups.where("p_score IS NOT NULL AND fwe IS NOT NULL").agg(F.sum("fwe").alias("w"), F.sum(F.col("fwe") * F.col("p_score")).alias("wp"), F.sum(F.col("fwe") / (F.col("p_score") + epsilon)).alias("h"))
     w = F.when(F.col("w") > 0, F.col("w"))
     return both.select(r4(F.try_divide("wp", w)).alias("p_primary"), r4(F.try_divide(w, F.when(F.col("h") > 0, F.col("h")))).alias("p_harmonic"))
 

@@ -40,11 +40,20 @@ def records(runs: DataFrame, threshold: float) -> DataFrame:
 def with_baseline(rows: DataFrame, *by: str) -> DataFrame:
     """(groups' own sums by level) and the baseline's sums, which every group shares; aggregated before they meet."""
     cell = [F.count("*").alias("n"), F.sum(F.col("match").cast("long")).alias("hits"), F.min("perturbation").alias("edge")]
-    own = rows.where("level_no > 0").dropna(subset=list(by)).groupBy(*by, "level_no").agg(*cell)
-    base = rows.where("level_no = 0").agg(F.count("*").alias("n"), F.sum(F.col("match").cast("long")).alias("hits"))
-    # the baseline is one row
-    shared = own.select(*by).distinct().join(F.broadcast(base)).where("n > 0").select(*by, F.lit(0).alias("level_no"), "n", "hits", F.lit(0.0).alias("edge"))
-    return own.unionByName(shared)
+    cells = rows.groupBy(*by, "level_no").agg(*cell, *(F.count(k).alias(f"_{k}") for k in by))
+    at = F.col("level_no") == 0
+    # names every column of the cells, so that both uses of them have one plan up to the exchange
+    every = sum((F.sum(f"_{k}") for k in by), F.sum("edge"))
+    base = cells.agg(F.sum(F.when(at, F.col("n"))).alias("n0"), F.sum(F.when(at, F.col("hits"))).alias("hits0"), F.coalesce(every, F.lit(0.0)).alias("_every")).where("_every > -1e300").drop("_every")
+    mine = F.collect_list(F.when(~at, F.struct("level_no", "n", "hits", "edge")))
+    # a group has at most as many cells as there are levels, and the baseline is one row
+    own = cells.groupBy(*by).agg(mine.alias("cells"), *(F.max(f"_{k}").alias(f"_{k}") for k in by)).join(F.broadcast(base))
+    keep = F.size("cells") > 0
+    for k in by:
+        keep = keep & (F.col(f"_{k}") > 0)
+    shared = F.when(F.col("n0") > 0, F.array(F.struct(F.lit(0).alias("level_no"), F.col("n0").alias("n"), F.col("hits0").alias("hits"), F.lit(0.0).alias("edge"))))
+    every = F.concat("cells", F.coalesce(shared, F.array().cast("array<struct<level_no:int,n:bigint,hits:bigint,edge:double>>")))
+    return own.where(keep).select(*by, F.explode(every).alias("c")).select(*by, "c.level_no", "c.n", "c.hits", "c.edge")
 
 
 def bins(cells: DataFrame, cfg: MetaConfig, *by: str) -> DataFrame:

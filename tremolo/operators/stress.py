@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import r4
-from .aggregates import LEVELS, group_summary
+from .aggregates import LEVELS, baseline, cell_accuracy, group_summary, has_stress, level_cells, stress_keys
 from .curation import admitted, without_measurements
 
 GROUPS = {"level", "category", "dimension"}
@@ -15,9 +15,9 @@ GROUPS = {"level", "category", "dimension"}
 def _curve(runs: DataFrame, threshold: float, alpha: float, *by: str) -> DataFrame:
     """Accuracy over present sims at each stress level, of the baseline (one for all groups), and tau."""
     hit = (F.col("sim") >= threshold).cast("double")
-    base = runs.where("level = 'L0'").agg(F.coalesce(F.avg(hit), F.lit(alpha)).alias("acc_base"))
-    own = runs.where("level <> 'L0'")
-    own = (own.dropna(subset=list(by)) if by else own).groupBy(*by).agg(*(F.avg(F.when(F.col("level") == v, hit)).alias(v) for v in LEVELS))
+    cells = level_cells(runs, hit, *by)
+    base = baseline(cells, F.coalesce(cell_accuracy("L0"), F.lit(alpha)).alias("acc_base"))
+    own = cells.groupBy(*by).agg(*(cell_accuracy(v).alias(v) for v in LEVELS), *stress_keys(*by)).where(has_stress(*by) if by else F.lit(True))
     # the baseline is one row
     return own.join(F.broadcast(base)).withColumn("tau", r4(alpha * F.col("acc_base")))
 

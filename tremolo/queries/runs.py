@@ -188,8 +188,7 @@ COMPOSITE = "SELECT round(sum(fwe * p_score) / sum(fwe), 4) AS p_primary, round(
 
 @query("agg18_composite", f"{R}, {FWE.format(by='category')}, p AS (SELECT category, round({PX}, 4) AS p_score FROM runs GROUP BY category) {COMPOSITE} FROM p JOIN fwe ON category = g")
 def composite(spark, sf_dir):
-    runs = bridge(spark, sf_dir)
-    return A.composite(A.p_scores(runs, "category"), A.fwe(runs, "category"), "category")
+    return A.composite(A.group_scores(bridge(spark, sf_dir), "category"))
 
 
 @query("agg19_level_summary", f"{R} SELECT level, count(*) AS n, round(avg(sim), 4) AS mean_sim, round(avg(CASE WHEN sim IS NOT NULL THEN {HIT} END), 4) AS pass_rate FROM runs GROUP BY level")
@@ -210,11 +209,9 @@ def threshold(spark, sf_dir):
 )
 def metrics(spark, sf_dir):
     """The whole flow for categories: summary, P, entropy and the composites of all."""
-    runs = bridge(spark, sf_dir)
-    p, f = A.p_scores(runs, "category"), A.fwe(runs, "category")
-    summary = runs.groupBy("category").agg(F.count("*").alias("n"), A.r4(F.avg("sim")).alias("mean_sim"))
+    groups = A.group_scores(bridge(spark, sf_dir), "category")
     # the composite is one row
-    return summary.join(p, "category").join(f, "category").join(F.broadcast(A.composite(p, f, "category")))
+    return groups.join(F.broadcast(A.composite(groups)))
 
 
 @query("agg22_run_summary", f"{R} SELECT level, count(*) AS n, sum((run_status = 'ok')::BIGINT)::BIGINT AS n_ok, round(avg(latency_ms), 2) AS avg_latency, round(quantile_cont(latency_ms, 0.95), 2) AS p95_latency FROM runs GROUP BY level")
@@ -227,9 +224,7 @@ def run_summary(spark, sf_dir):
     f"""{R}, {FWE.format(by='dimension')} SELECT s.*, fwe FROM (SELECT dimension, count(*) AS n, round(avg(sim), 4) AS mean_sim, round({PX}, 4) AS p_score FROM runs GROUP BY dimension) s LEFT JOIN fwe ON dimension = g""",
 )
 def display(spark, sf_dir):
-    runs = bridge(spark, sf_dir)
-    table = runs.groupBy("dimension").agg(F.count("*").alias("n"), A.r4(F.avg("sim")).alias("mean_sim"))
-    return table.join(A.p_scores(runs, "dimension"), "dimension", "left").join(A.fwe(runs, "dimension"), "dimension", "left")
+    return A.group_scores(bridge(spark, sf_dir), "dimension")
 
 
 #: Meta-metrics unrolled over six levels.
@@ -298,9 +293,8 @@ z AS (SELECT *, x / sum(x) OVER () AS w_final FROM w)"""
 
 
 def _families(spark, sf_dir):
-    runs = bridge(spark, sf_dir)
     name = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))[F.col("model")]
-    rows = A.p_scores(runs, "model").join(A.fwe(runs, "model"), "model").select(F.lit("Stability").alias("category"), name.alias("family"), "p_score", "fwe")
+    rows = A.group_scores(bridge(spark, sf_dir), "model").select(F.lit("Stability").alias("category"), name.alias("family"), "p_score", "fwe")
     return rows.withColumn("fwe", F.when(F.col("family") != "format", F.col("fwe")))
 
 
