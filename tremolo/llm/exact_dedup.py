@@ -72,7 +72,8 @@ def flagged(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = flagged(docs)
-    groups = rows.where("maybe").groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that both sides of the join are dealt anew and a hot text's rows can be split
+    groups = written(rows.where("maybe").groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     again = rows.where("maybe").join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
     once = rows.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return once.unionByName(again)
