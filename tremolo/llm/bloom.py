@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import spread
 
@@ -99,7 +100,7 @@ def split(docs: DataFrame, ids: DataFrame) -> DataFrame | None:
     shared, cells = made
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).select("*", *hashed(names[docs.columns.index("doc_id")]))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)]), "maybe_in boolean"])
+    schema = StructType([*rows.schema.fields[: len(names)], StructField("maybe_in", BooleanType())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint8)

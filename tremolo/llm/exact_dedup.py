@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .bloom import build_filter, halves, inside, size
 from .common import raw, work_dir, written
@@ -88,8 +89,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
         return drop_repeats(docs.join(lost, "doc_id", "left_anti").select(*names), report(docs))
     ids = written(digests(docs, 1), "digests")
     twice = docs.sparkSession.sparkContext.broadcast(build_filter(ids, cells)[1])
-    schema = "maybe_repeated boolean, text_key string"
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(twice.value, dtype=np.uint8)
         for b in batches:
@@ -98,7 +97,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe), pa.array([s if m else None for s, m in zip(sha, maybe)], pa.string())], names=[*[f"c{i}" for i in range(len(names))], "maybe_repeated", "text_key"])
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = plain.mapInArrow(ask, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), schema]))
+    rows = plain.mapInArrow(ask, StructType([*plain.schema.fields, StructField("maybe_repeated", BooleanType()), StructField("text_key", StringType())]))
     own = plain.columns
     order = F.coalesce(F.col(own[names.index("doc_id")]).cast("long"), F.lit(-(2**63)))
     best = rows.where("maybe_repeated").groupBy("text_key").agg(F.max_by(F.struct(*own), order).alias("row")).select("row.*")

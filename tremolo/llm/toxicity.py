@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import blocks, raw
 
@@ -214,7 +215,7 @@ def _with_score(docs: DataFrame, model: Model | float, name: str) -> DataFrame:
             s = np.full(b.num_rows, m) if isinstance(m, float) else m.score(m.features(raw(b.column(text)), memo))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=names)
 
-    return plain.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), f"{name} double"]))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(name, DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
