@@ -21,8 +21,11 @@ the shared folder; a block sends each shard its distinct n-grams with their
 counts in training documents, the shard adds up all blocks' counts, builds its
 part of the trie, and answers each block. All training documents count, so what
 is gathered grows with the corpus; n-grams that repeat in a block travel once,
-so a hot context weighs as much as its distinct followers. Blobs that wait in a
-shard spill to a temporary file.
+so a hot context weighs as much as its distinct followers. A word that precedes
+more than half of a shard's share of all tokens is a hot context: its followers
+are dealt to SPLIT parts, each a context of its own, and the parts' totals and
+backoff masses are added up afterwards (a row for each hot word, at most two for
+each shard). Blobs that wait in a shard spill to a temporary file.
 
 Text rules: A-Z lower-cased, words are runs of bytes other than ASCII white
 space, then one end. Null and empty texts are just the end. Rows are told apart
@@ -45,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, mix, raw, spread, written
+from .common import WordHash, blocks, mix, raw, spread, trim, written
 from .elias_fano import EliasFano
 
 #: Length of n-grams; bytes of text of a block; training and other tokens for each shard; one in so many documents is held out.
@@ -54,6 +57,8 @@ ORDER, BLOCK, SHARD, HELD = 2, 4 << 20, 2_000_000, 10
 STEP, ZERO = 4096.0, 65535
 #: Hashes that stand for the start of a text and its end.
 START, END = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xE7037ED1A0B428DB)
+#: Parts of a hot context; the total that parts are coded by, so that a code tells the count; words of a block that may be hot.
+SPLIT, COUNT_SCALE, FREQUENT = 64, float(1 << 40), 512
 #: Bytes of waiting blobs that a shard keeps in memory; n-grams that it adds up at once.
 WAIT, MERGE = 16 << 20, 1_500_000
 
@@ -89,8 +94,12 @@ class NgramTrie:
         self.contexts, self.pointers, self.followers, self.probs, self.weights = contexts, pointers, followers, probs, weights
 
     @classmethod
-    def build(cls, context: np.ndarray, follower: np.ndarray, count: np.ndarray) -> NgramTrie:
-        """context (uint64) and follower (32 bits), sorted by both and distinct; count: at least 1 each."""
+    def build(cls, context: np.ndarray, follower: np.ndarray, count: np.ndarray, parts: np.ndarray | None = None) -> NgramTrie:
+        """context (uint64) and follower (32 bits), sorted by both and distinct; count: at least 1 each.
+
+        parts: contexts that are parts of hot ones; their codes are of discounted counts over
+        COUNT_SCALE. `masses` keeps total and backoff mass of each context.
+        """
         new = np.ones(len(context), dtype=bool)
         new[1:] = context[1:] != context[:-1]
         owner, first = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -99,7 +108,12 @@ class NgramTrie:
         left = np.add.reduceat(cut, first) if len(first) else np.empty(0)
         relative = (owner.astype(np.uint64) << np.uint64(32)) | follower.astype(np.uint64)
         ends = np.array([*first, len(context)], dtype=np.uint64)
-        return cls(EliasFano.encode(context[first]), EliasFano.encode(ends), EliasFano.encode(relative), quantise((count - cut) / total[owner]), quantise(left / total))
+        scale = total.astype(float)
+        if parts is not None and len(parts):
+            scale[np.isin(context[first], parts)] = COUNT_SCALE
+        trie = cls(EliasFano.encode(context[first]), EliasFano.encode(ends), EliasFano.encode(relative), quantise((count - cut) / scale[owner]), quantise(left / total))
+        trie.masses = (context[first], total.astype(float), left)
+        return trie
 
     def write(self, path: str) -> None:
         with open(path, "wb") as f:
@@ -147,7 +161,7 @@ def discounts(count: np.ndarray) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Token blocks: block, doc_ids, held, lengths (words and the end), ids (each token's place in words), words (sorted hashes), n, n_train."""
+    """Token blocks: block, doc_ids, held, lengths (words and the end), ids (each token's place in words), words (sorted hashes), n, n_train, frequent (words that may be hot contexts, and how many tokens they precede)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, one = WordHash(), np.array([END])
@@ -156,23 +170,26 @@ def tokenised(docs: DataFrame) -> DataFrame:
             for t in raw(b.column("text")):
                 parts += [memo.of(t.lower().split()), one]
             lengths = [len(x) + 1 for x in parts[::2]]
-            words, ids = np.unique(np.concatenate(parts), return_inverse=True)
+            words, ids, often = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            top = np.flatnonzero((often * FREQUENT >= sum(lengths)) & (words != END))
+            frequent = [{"word": w, "n": n} for w, n in zip([*words[top].view(np.int64).tolist(), -1], [*often[top].tolist(), len(lengths)])]  # -1: START
             held = b.column("held").to_pylist()
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([b.column("doc_id").to_pylist()], longs), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], longs), pa.array([_pack(ids.astype("<u4"))], pa.binary()), pa.array([EliasFano.encode(words).tobytes()], pa.binary()), pa.array([sum(lengths)], pa.int64()), pa.array([sum(n for n, h in zip(lengths, held) if not h)], pa.int64())],
-                names=["block", "doc_ids", "held", "lengths", "ids", "words", "n", "n_train"],
+                [pa.array([uuid.uuid4().hex]), pa.array([b.column("doc_id").to_pylist()], longs), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], longs), pa.array([_pack(ids.astype("<u4"))], pa.binary()), pa.array([EliasFano.encode(words).tobytes()], pa.binary()), pa.array([sum(lengths)], pa.int64()), pa.array([sum(n for n, h in zip(lengths, held) if not h)], pa.int64()), pa.array([frequent], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))],
+                names=["block", "doc_ids", "held", "lengths", "ids", "words", "n", "n_train", "frequent"],
             )
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(HELD)) == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    return rows.mapInArrow(run, "block string, doc_ids array<long>, held array<boolean>, lengths array<long>, ids binary, words binary, n long, n_train long")
+    return rows.mapInArrow(run, "block string, doc_ids array<long>, held array<boolean>, lengths array<long>, ids binary, words binary, n long, n_train long, frequent array<struct<word:long,n:long>>")
 
 
 class _Block:
     """A token block's words and n-grams, as they are asked of shards and put together from the answers."""
 
-    def __init__(self, held: list[bool], lengths: list[int], ids: bytes, words: bytes, shards: int):
+    def __init__(self, held: list[bool], lengths: list[int], ids: bytes, words: bytes, shards: int, hot: np.ndarray):
+        self.hot = hot
         self.words, self.ids = EliasFano.frombuffer(words).decode(), _unpack(ids)[0].astype(np.int64)
         self.lengths, self.shards = np.array(lengths, dtype=np.int64), shards
         self.train = ~np.repeat(np.array(held, dtype=bool), self.lengths)
@@ -195,6 +212,9 @@ class _Block:
             older[self.first] = START
             context = mix(older * np.uint64(0x9E3779B97F4A7C15) + before)
         follower = (own >> np.uint64(32)).astype(np.uint32)
+        whole, hot = context, np.isin(context, self.hot) if order == 2 and len(self.hot) else np.zeros(len(context), dtype=bool)
+        if hot.any():
+            context = np.where(hot, mix(context * np.uint64(0xD1342543DE82EF95) + np.uint64(1) + follower.astype(np.uint64) % np.uint64(SPLIT)), context)
         at = np.lexsort((follower, context))
         c, f = context[at], follower[at]
         new_c = np.ones(len(c), dtype=bool)
@@ -206,6 +226,8 @@ class _Block:
         self.group[at] = place
         self.followers, self.contexts = f[new], c[new_c]
         self.owner = (np.cumsum(new_c) - 1)[new]
+        # contexts that are parts of a hot one, and that one
+        self.part, self.whole = hot[at][new_c], whole[at][new_c]
         self.seen = np.bincount(place, weights=self.train[at], minlength=int(new.sum())).astype(np.uint32)
         self.sizes = np.bincount(self.owner, minlength=len(self.contexts)).astype(np.uint32)
         self.context_cuts = np.searchsorted(self._shard(self.contexts), np.arange(self.shards + 1))
@@ -216,13 +238,18 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if not len(a) or a.max() < 256 else np.uint32)
 
 
-def answers(table: DataFrame, shards: int, order: int) -> DataFrame:
-    """block, level, shard, probs, weights: of each n-gram that a block has in a shard. Level 1: counts; level 0: distinct training words of a shard (n)."""
+def answers(table: DataFrame, shards: int, order: int, hot: np.ndarray) -> DataFrame:
+    """block, level, shard, probs, weights: of each n-gram that a block has in a shard.
+
+    Level 1: counts. Rows without a block: level 0, a shard's distinct training words (n);
+    level -1, hot contexts with the totals and backoff masses of the parts that a shard has.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, held, lengths, ids, words in zip(*(b.column(c).to_pylist() for c in ("block", "held", "lengths", "ids", "words"))):
-                x = _Block(held, lengths, ids, words, shards)
+                trim()
+                x = _Block(held, lengths, ids, words, shards, hot)
                 for level in range(1, order + 1):
                     if level > 1:
                         x.ngrams(level)
@@ -233,14 +260,15 @@ def answers(table: DataFrame, shards: int, order: int) -> DataFrame:
                             rows.append((s, pickle.dumps((EliasFano.encode(x.words[lo:hi]).tobytes(), _pack(_small(x.counts[lo:hi]))))))
                         else:
                             p, q = x.pair_cuts[s], x.pair_cuts[s + 1]
-                            rows.append((s, pickle.dumps((EliasFano.encode(x.contexts[lo:hi]).tobytes(), _pack(_small(x.sizes[lo:hi]), x.followers[p:q], _small(x.seen[p:q]))))))
+                            rows.append((s, pickle.dumps((EliasFano.encode(x.contexts[lo:hi]).tobytes(), _pack(_small(x.sizes[lo:hi]), x.followers[p:q], _small(x.seen[p:q]), np.flatnonzero(x.part[lo:hi]).astype(np.uint32), x.whole[lo:hi][x.part[lo:hi]])))))
                     yield pa.RecordBatch.from_arrays([pa.array([level] * len(rows), pa.int32()), pa.array([s for s, _ in rows], pa.int32()), pa.array([block] * len(rows)), pa.array([r for _, r in rows], pa.binary())], names=["level", "shard", "block", "asked"])
 
     def words(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         w, c = pickle.loads(blob)
         return EliasFano.frombuffer(w).decode(), _unpack(c)[0]
 
-    def pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(blob: bytes) -> tuple[np.ndarray, ...]:
+        """Contexts, sizes, followers, counts, places of parts among the contexts, and their hot contexts."""
         c, rest = pickle.loads(blob)
         return EliasFano.frombuffer(c).decode(), *_unpack(rest)
 
@@ -253,18 +281,24 @@ def answers(table: DataFrame, shards: int, order: int) -> DataFrame:
         return c[new], f[new], np.add.reduceat(n[at], np.flatnonzero(new)) if len(c) else n
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(level: int, shard: int, waiting, n_waiting: int, held: list) -> Iterator[pa.RecordBatch]:
-            def row(block, probs, weights, n):
-                return pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([level if block else 0], pa.int32()), pa.array([shard], pa.int32()), pa.array([probs], pa.binary()), pa.array([weights], pa.binary()), pa.array([n], pa.int64())], names=["block", "level", "shard", "probs", "weights", "n"])
+        def flush(level: int, shard: int, waiting, n_waiting: int, held: list, wholes: dict[int, int]) -> Iterator[pa.RecordBatch]:
+            def row(block, probs, weights, n, kind=level):
+                return pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([probs], pa.binary()), pa.array([weights], pa.binary()), pa.array([n], pa.int64())], names=["block", "level", "shard", "probs", "weights", "n"])
 
             key, follower, count = add(held)
             if level > 1:
                 path = os.path.join(tempfile.gettempdir(), uuid.uuid4().hex)
-                NgramTrie.build(key, follower, count).write(path)
+                built = NgramTrie.build(key, follower, count, np.fromiter(wholes, dtype=np.uint64, count=len(wholes)))
+                built.write(path)
                 trie = NgramTrie.map(path)
                 os.unlink(path)  # the mapping stays
+                contexts, totals, lefts = built.masses
+                own = np.flatnonzero(np.isin(contexts, np.fromiter(wholes, dtype=np.uint64, count=len(wholes))))
+                if len(own):
+                    yield row(None, _pack(np.array([wholes[int(c)] for c in contexts[own]], dtype=np.uint64)), _pack(totals[own], lefts[own]), None, -1)
+                del built
             else:
-                yield row(None, None, None, len(key))
+                yield row(None, None, None, len(key), 0)
             waiting.seek(0)
             for _ in range(n_waiting):
                 block, blob = pickle.load(waiting)
@@ -274,28 +308,30 @@ def answers(table: DataFrame, shards: int, order: int) -> DataFrame:
                     c = np.where(key[at] == own, count[at], 0) if len(key) else np.zeros(len(own), dtype=np.int64)
                     yield row(block, _pack(c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c.astype(np.uint64)), None, None)
                 else:
-                    c, sizes, f, _ = pairs(blob)
+                    c, sizes, f, *_ = pairs(blob)
                     probs, weights = trie.find(c, sizes.astype(np.int64), f)
                     yield row(block, _pack(probs), _pack(weights), None)
 
         def fresh() -> tempfile.SpooledTemporaryFile:
             return tempfile.SpooledTemporaryFile(max_size=WAIT)
 
-        at, waiting, n, held, size = None, fresh(), 0, [], 0
+        at, waiting, n, held, size, wholes = None, fresh(), 0, [], 0, {}
         for b in batches:
             for level, shard, block, blob in zip(*(b.column(c).to_pylist() for c in ("level", "shard", "block", "asked"))):
                 if (level, shard) != at:
                     if at:
-                        yield from flush(*at, waiting, n, held)
+                        yield from flush(*at, waiting, n, held, wholes)
                         waiting.close()
-                    at, waiting, n, held, size = (level, shard), fresh(), 0, [], 0
+                        trim()
+                    at, waiting, n, held, size, wholes = (level, shard), fresh(), 0, [], 0, {}
                 pickle.dump((block, blob), waiting)
                 n += 1
                 if level == 1:
                     own, c = words(blob)
                     own, f = own, np.zeros(len(own), dtype=np.uint32)
                 else:
-                    own, sizes, f, c = pairs(blob)
+                    own, sizes, f, c, places, hots = pairs(blob)
+                    wholes.update(zip(own[places].tolist(), hots.tolist()))
                     own = np.repeat(own, sizes)
                 some = c > 0
                 held.append((own[some], f[some], c[some].astype(np.int64)))
@@ -304,20 +340,37 @@ def answers(table: DataFrame, shards: int, order: int) -> DataFrame:
                     held = [add(held)]
                     size = len(held[0][0]) // 2
         if at:
-            yield from flush(*at, waiting, n, held)
+            yield from flush(*at, waiting, n, held, wholes)
             waiting.close()
 
     asked = table.select("block", "held", "lengths", "ids", "words").mapInArrow(ask, "level int, shard int, block string, asked binary")
-    dealt = asked.repartition(spread(table), "level", "shard").sortWithinPartitions("level", "shard")
+    dealt = asked.repartition(spread(table, 2 * shards * order), "level", "shard").sortWithinPartitions("level", "shard")
     return dealt.mapInArrow(answer, "block string, level int, shard int, probs binary, weights binary, n long")
 
 
+def _masses(heard: DataFrame) -> dict[int, tuple[float, float]]:
+    """Total and backoff mass of each hot context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, w in zip(b.column("probs").to_pylist(), b.column("weights").to_pylist()):
+                total, left = _unpack(w)
+                yield pa.RecordBatch.from_pydict({"word": _unpack(p)[0].view(np.int64), "total": total, "left": left})
+
+    rows = heard.where("level = -1").select("probs", "weights").mapInArrow(run, "word long, total double, left double")
+    return {r.word % (1 << 64): (r.total, r.left) for r in rows.groupBy("word").agg(F.sum("total").alias("total"), F.sum("left").alias("left")).collect()}
+
+
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     table = written(tokenised(docs), "tokens")
     sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("train")).first()
     shards, train = max(1, -(-sums["n"] // SHARD)), sums["train"]
-    heard = written(answers(table, shards, order), "answers")
+    often = table.select(F.explode("frequent").alias("x")).groupBy("x.word").agg(F.sum("x.n").alias("n")).where(F.col("n") * 2 * shards > sums["n"])
+    # more than 1 / (2 shards) of all tokens each: at most 2 * shards rows
+    hot = np.sort(np.array([r.word for r in often.collect()], dtype=np.int64).view(np.uint64)) if shards > 1 else np.empty(0, dtype=np.uint64)
+    heard = written(answers(table, shards, order, hot), "answers", rows=100)
+    masses = _masses(heard)
     distinct = heard.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bottom = train + 0.1 * (distinct + 1)
     own = heard.where("level > 0").groupBy("block").agg(F.collect_list(F.struct("level", "shard", "probs", "weights")).alias("heard"))
@@ -326,7 +379,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for docs_, held, lengths, ids, words, *got in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "held", "lengths", "ids", "words", "level", "shard", "probs", "weights"))):
-                x = _Block(held, lengths, ids, words, shards)
+                trim()
+                x = _Block(held, lengths, ids, words, shards, hot)
                 replies = {(lv, s): (p, w) for lv, s, p, w in zip(*got)}
                 counts = np.zeros(len(x.words))
                 for s in np.flatnonzero(np.diff(x.cuts)):
@@ -339,7 +393,14 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     for s in np.flatnonzero(np.diff(x.context_cuts)):
                         a, w = (_unpack(y)[0] for y in replies[level, s])
                         probs[x.pair_cuts[s] : x.pair_cuts[s + 1]], weights[x.context_cuts[s] : x.context_cuts[s + 1]] = a, w
-                    p = restore(probs)[x.group] + restore(weights)[x.owner][x.group] * p
+                    a, w = restore(probs), restore(weights)
+                    if x.part.any():
+                        total, left = (np.array([masses.get(int(c), (0.0, 0.0))[i] for c in x.whole[x.part]]) for i in (0, 1))
+                        w[x.part] = np.where(total > 0, left / np.maximum(total, 1), 1.0)
+                        scale = np.ones(len(x.contexts))
+                        scale[x.part] = COUNT_SCALE / np.maximum(total, 1)
+                        a *= scale[x.owner]
+                    p = a[x.group] + w[x.owner][x.group] * p
                 each = [np.add.reduceat(v, x.first) for v in ((counts > 0)[x.ids].astype(np.int64), np.log10(p1), np.log10(p))]
                 yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(held, pa.bool_()), pa.array(x.lengths), pa.array(each[0]), pa.array([train] * len(docs_), pa.int64()), pa.array(each[1]), pa.array(each[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
