@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, mix, raw, spread, written
+from .common import WordHash, blocks, mix, raw, spread, trim, written
 from .elias_fano import EliasFano
 
 #: Words of a window; bytes of text of a block; bytes of text for each shard.
@@ -102,6 +102,7 @@ def repeated(table: DataFrame, window: int, shards: int) -> DataFrame:
         memo = WordHash()
         for b in batches:
             for block, lengths, body in zip(*(b.column(c).to_pylist() for c in ("block", "lengths", "body"))):
+                trim()
                 x = _Block(_texts(body, lengths), memo, window, shards)
                 full = [s for s in range(shards) if x.cuts[s] < x.cuts[s + 1]]
                 if full:
@@ -130,7 +131,7 @@ def repeated(table: DataFrame, window: int, shards: int) -> DataFrame:
         yield from flush(shard, held)
 
     sent = table.select("block", "lengths", "body").mapInArrow(send, "shard int, block string, hashes binary")
-    dealt = sent.repartition(spread(table), "shard").sortWithinPartitions("shard")
+    dealt = sent.repartition(spread(table, 2 * shards), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(count, "block string, shard int, flags binary")
 
 
@@ -147,6 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for b in batches:
             for ids, lengths, body, shard, flags in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "lengths", "body", "shard", "flags"))):
+                trim()
                 x = _Block(_texts(body, lengths), memo, window, shards)
                 hit = x.twice.copy()
                 for s, f in zip(shard or [], flags or []):
