@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import evals, runs, selection, texts  # noqa: F401  (they register themselves)
+from .queries import evals, intake, runs, selection, texts  # noqa: F401  (they register themselves)
 from .queries.registry import ORACLES, QUERIES
 from .queries.runs import family_collapse as flagship
 
