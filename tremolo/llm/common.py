@@ -121,6 +121,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order; sorting first is faster for many numbers than numpy's hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
     """Hashes of all runs of k words, in order; of the whole sequence when it is shorter; none without words."""
     n = len(h)

@@ -13,10 +13,14 @@ class EliasFano:
     """
 
     DIRECTORY = 64
+    #: Stretches that are kept decoded, the ones asked last.
+    KEPT = 256
 
     def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
         self._ones: np.ndarray | None = None
+        self._heads: dict[int, np.ndarray] = {}
+        self._kept: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -90,7 +94,7 @@ class EliasFano:
         cut = np.flatnonzero(np.diff(group, prepend=-1))
         for lo, hi in zip(cut, [*cut[1:], len(wanted)]):
             first = int(group[lo]) * step
-            own = self.decode(first, first + step + 1)
+            own = self._stretch(first, first + step + 1)
             at = np.searchsorted(own, wanted[lo:hi], side="left")
             place[lo:hi] = first + at
             equal[lo:hi] = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] == wanted[lo:hi])
@@ -98,4 +102,15 @@ class EliasFano:
 
     def heads(self, step: int) -> np.ndarray:
         """Every step-th number."""
-        return np.array([self.decode(i, i + 1)[0] for i in range(0, self.n, step)], dtype=np.uint64)
+        if step not in self._heads:
+            self._heads[step] = np.array([self.decode(i, i + 1)[0] for i in range(0, self.n, step)], dtype=np.uint64)
+        return self._heads[step]
+
+    def _stretch(self, start: int, stop: int) -> np.ndarray:
+        own = self._kept.pop((start, stop), None)
+        if own is None:
+            own = self.decode(start, stop)
+            if len(self._kept) >= self.KEPT:
+                del self._kept[next(iter(self._kept))]
+        self._kept[start, stop] = own
+        return own

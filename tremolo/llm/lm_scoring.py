@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, mix, raw, spread, trim, written
+from .common import WordHash, blocks, distinct, mix, raw, spread, trim, written
 from .elias_fano import EliasFano
 
 #: Length of n-grams; bytes of text of a block; training and other tokens for each shard; one in so many documents is held out.
@@ -92,6 +92,7 @@ class NgramTrie:
 
     def __init__(self, contexts: EliasFano, pointers: EliasFano, followers: EliasFano, probs: np.ndarray, weights: np.ndarray):
         self.contexts, self.pointers, self.followers, self.probs, self.weights = contexts, pointers, followers, probs, weights
+        self._ends: np.ndarray | None = None
 
     @classmethod
     def build(cls, context: np.ndarray, follower: np.ndarray, count: np.ndarray, parts: np.ndarray | None = None) -> NgramTrie:
@@ -144,7 +145,9 @@ class NgramTrie:
         wanted = (owner.astype(np.uint64) << np.uint64(32)) | followers[known].astype(np.uint64)
         place, equal = self.followers.successors(wanted)
         if len(place):
-            ends = self.pointers.decode().astype(np.int64)
+            if self._ends is None:
+                self._ends = self.pointers.decode().astype(np.int64)
+            ends = self._ends
             inside = equal & (place >= ends[owner]) & (place < ends[owner + 1])
             codes[np.flatnonzero(known)[inside]] = self.probs[place[inside]]
         return codes, weights
@@ -201,8 +204,28 @@ class _Block:
         """Sorted hashes have sorted shards."""
         return ((hashes >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
 
-    def ngrams(self, order: int) -> None:
-        """Distinct (context, follower) pairs of an order, sorted, with their training counts; `group` leads from tokens to pairs."""
+    def _pairs(self) -> tuple[np.ndarray, ...]:
+        """Of order 2, by whole numbers: hashes of contexts in order, the hot context of each part, and each token's context by its place among them."""
+        v = len(self.words)
+        code = np.concatenate([[v], self.ids[:-1]])
+        code[self.first] = v
+        own = np.concatenate([self.words, [START]])
+        hot = np.flatnonzero(np.isin(own, self.hot)) if len(self.hot) else np.empty(0, dtype=np.int64)
+        split = (own[hot, None] * np.uint64(0xD1342543DE82EF95) + np.arange(1, SPLIT + 1, dtype=np.uint64)).ravel()
+        if len(hot):
+            place = np.full(v + 1, -1, dtype=np.int64)
+            place[hot] = np.arange(len(hot))
+            mine = place[code]
+            part = (self.words[self.ids] >> np.uint64(32)) % np.uint64(SPLIT)
+            code = np.where(mine >= 0, v + 1 + mine * SPLIT + part.astype(np.int64), code)
+        hashes, whole = np.concatenate([own, mix(split)]), np.concatenate([np.zeros(v + 1, dtype=np.uint64), np.repeat(own[hot], SPLIT)])
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        return hashes[order], whole[order], order > v, rank[code]
+
+    def _contexts(self, order: int) -> tuple[np.ndarray, ...]:
+        """As _pairs() for longer contexts, which are not split."""
         own = self.words[self.ids]
         before = np.concatenate([[START], own[:-1]]) if len(own) else own
         before[self.first] = START
@@ -211,23 +234,33 @@ class _Block:
             older = np.concatenate([[START], context[:-1]])
             older[self.first] = START
             context = mix(older * np.uint64(0x9E3779B97F4A7C15) + before)
-        follower = (own >> np.uint64(32)).astype(np.uint32)
-        whole, hot = context, np.isin(context, self.hot) if order == 2 and len(self.hot) else np.zeros(len(context), dtype=bool)
-        if hot.any():
-            context = np.where(hot, mix(context * np.uint64(0xD1342543DE82EF95) + np.uint64(1) + follower.astype(np.uint64) % np.uint64(SPLIT)), context)
-        at = np.lexsort((follower, context))
-        c, f = context[at], follower[at]
-        new_c = np.ones(len(c), dtype=bool)
-        new_c[1:] = c[1:] != c[:-1]
+        hashes = distinct(context)
+        return hashes, np.zeros(len(hashes), dtype=np.uint64), np.zeros(len(hashes), dtype=bool), np.searchsorted(hashes, context)
+
+    def ngrams(self, order: int) -> None:
+        """Distinct (context, follower) pairs of an order, sorted, with their training counts; `group` leads from tokens to pairs."""
+        hashes, whole, part, context = self._pairs() if order == 2 else self._contexts(order)
+        # context, word and place in one number: values sort far faster than indirectly
+        bits = [max(1, len(x)).bit_length() for x in (hashes, self.words, self.ids)]
+        if sum(bits) <= 64:
+            w, p = np.uint64(bits[1]), np.uint64(bits[2])
+            key = np.sort((((context.astype(np.uint64) << w) | self.ids.astype(np.uint64)) << p) | np.arange(len(self.ids), dtype=np.uint64))
+            at = (key & ((np.uint64(1) << p) - np.uint64(1))).astype(np.int64)
+        else:
+            at = np.lexsort((self.ids, context))
+        r, i = context[at], self.ids[at]
+        c, f = hashes[r], (self.words[i] >> np.uint64(32)).astype(np.uint32)
+        new_c = np.ones(len(r), dtype=bool)
+        new_c[1:] = r[1:] != r[:-1]
         new = new_c.copy()
-        new[1:] |= f[1:] != f[:-1]
+        new[1:] |= i[1:] != i[:-1]
         place = np.cumsum(new) - 1
         self.group = np.empty(len(at), dtype=np.int64)
         self.group[at] = place
         self.followers, self.contexts = f[new], c[new_c]
         self.owner = (np.cumsum(new_c) - 1)[new]
         # contexts that are parts of a hot one, and that one
-        self.part, self.whole = hot[at][new_c], whole[at][new_c]
+        self.part, self.whole = part[r[new_c]], whole[r[new_c]]
         self.seen = np.bincount(place, weights=self.train[at], minlength=int(new.sum())).astype(np.uint32)
         self.sizes = np.bincount(self.owner, minlength=len(self.contexts)).astype(np.uint32)
         self.context_cuts = np.searchsorted(self._shard(self.contexts), np.arange(self.shards + 1))
@@ -274,11 +307,12 @@ def answers(table: DataFrame, shards: int, order: int, hot: np.ndarray) -> DataF
 
     def add(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         c, f, n = (np.concatenate(x) for x in zip(*held))
-        at = np.lexsort((f, c))
-        c, f = c[at], f[at]
-        new = np.ones(len(c), dtype=bool)
-        new[1:] = (c[1:] != c[:-1]) | (f[1:] != f[:-1])
-        return c[new], f[new], np.add.reduceat(n[at], np.flatnonzero(new)) if len(c) else n
+        contexts = distinct(c)
+        key = (np.searchsorted(contexts, c).astype(np.uint64) << np.uint64(32)) | f.astype(np.uint64)
+        every = distinct(key)  # blobs are sorted, so looking their keys up is cheap
+        total = np.zeros(len(every), dtype=np.int64)
+        np.add.at(total, np.searchsorted(every, key), n)
+        return contexts[(every >> np.uint64(32)).astype(np.int64)], (every & np.uint64(0xFFFFFFFF)).astype(np.uint32), total
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(level: int, shard: int, waiting, n_waiting: int, held: list, wholes: dict[int, int]) -> Iterator[pa.RecordBatch]:
