@@ -80,32 +80,38 @@ def report(docs: DataFrame) -> DataFrame:
     return once.unionByName(again)
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without copies of a text but the one of the largest doc_id; same columns. Rows whose text occurs once are not shuffled."""
-    names = docs.columns
-    ranges, cells = size(docs.count())
-    if ranges > 1:  # one filter at a time fits: the rows to drop are found from their digests
-        lost = report(docs).where("NOT kept").select("doc_id")
-        return drop_repeats(docs.join(lost, "doc_id", "left_anti").select(*names), report(docs))
-    ids = written(digests(docs, 1), "digests")
-    twice = docs.sparkSession.sparkContext.broadcast(build_filter(ids, cells)[1])
+def _keyed(docs: DataFrame, flag) -> DataFrame:
+    """docs with columns c0, c1, ..., maybe_repeated and text_key (of rows that may be repeated). flag: hashes to booleans, None for all."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain, text = docs.toDF(*names), docs.columns.index("text")
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(twice.value, dtype=np.uint8)
         for b in batches:
-            sha, keys = _digests(raw(b.column(names.index("text"))))
-            maybe = inside(keys, bits, cells)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe), pa.array([s if m else None for s, m in zip(sha, maybe)], pa.string())], names=[*[f"c{i}" for i in range(len(names))], "maybe_repeated", "text_key"])
-
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = plain.mapInArrow(ask, StructType([*plain.schema.fields, StructField("maybe_repeated", BooleanType()), StructField("text_key", StringType())]))
-    own = plain.columns
-    order = F.coalesce(F.col(own[names.index("doc_id")]).cast("long"), F.lit(-(2**63)))
-    best = rows.where("maybe_repeated").groupBy("text_key").agg(F.max_by(F.struct(*own), order).alias("row")).select("row.*")
-    return rows.where("NOT maybe_repeated").select(*own).unionByName(best).toDF(*names)
-
-
-def drop_repeats(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """For tables of several ranges: of rows that repeat text and doc_id, one."""
-    twins = seen.where("kept AND group_size > 1").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    some = docs.join(twins, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(twins, "doc_id", "left_anti").select(*docs.columns).unionByName(some.select(*docs.columns))
+            sha, keys = _digests(raw(b.column(text)))
+            maybe = flag(keys) if flag else np.ones(len(sha), dtype=bool)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe), pa.array([s if m else None for s, m in zip(sha, maybe)], pa.string())], names=[*names, "maybe_repeated", "text_key"])
+
+    return plain.mapInArrow(ask, StructType([*plain.schema.fields, StructField("maybe_repeated", BooleanType()), StructField("text_key", StringType())]))
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs without copies of a text but the one of the largest doc_id; same columns.
+
+    Rows whose text occurs once for certain are not shuffled. Beyond RANGE_KEYS rows one
+    filter does not hold all texts; then the repeated digests are found range by range as
+    for the report, and rows are joined with them.
+    """
+    ranges, cells = size(docs.count())
+    if ranges > 1:
+        rows = _keyed(docs, None)
+        repeated = written(report(docs).where("group_size > 1").select(F.col("text_sha256").alias("text_key")).distinct(), "repeated")
+        once, again = rows.join(repeated, "text_key", "left_anti"), rows.join(repeated, "text_key", "left_semi")
+    else:
+        ids = written(digests(docs, 1), "digests")
+        twice = docs.sparkSession.sparkContext.broadcast(build_filter(ids, cells)[1])
+        rows = _keyed(docs, lambda keys: inside(keys, np.frombuffer(twice.value, dtype=np.uint8), cells))
+        once, again = rows.where("NOT maybe_repeated"), rows.where("maybe_repeated")
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    order = F.coalesce(F.col(own[docs.columns.index("doc_id")]).cast("long"), F.lit(-(2**63)))
+    best = again.groupBy("text_key").agg(F.max_by(F.struct(*own), order).alias("row")).select("row.*")
+    return once.select(*own).unionByName(best).toDF(*docs.columns)
