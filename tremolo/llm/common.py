@@ -181,9 +181,12 @@ def mark() -> int:
     return len(_work)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession, start: int, stop: int) -> None:
     """Deletes the folders named between two marks, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
     for p in _work[start:stop]:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, p)
