@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tremolo.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from tremolo.llm.common import mark, release, table, work_dir
+from tremolo.llm.common import mark, release, remove, table, work_dir
 
 #: Where the work folders of the running stage begin. A stage is given documents that have been written, so what earlier stages left can go.
 _begun = [0]
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each one's result is written as Parquet and read again as the next one's documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         if name == STAGES[-1][0]:
@@ -63,3 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = work_dir(spark, f"stage-{name}", listed=False)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:  # what the stage has read is not needed any more
+            remove(spark, before)
+        before = path
