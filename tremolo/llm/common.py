@@ -23,6 +23,9 @@ BLOCK_BYTES = 8 << 20
 #: Words a task remembers the hash of; the memory is emptied beyond that.
 MEMO_WORDS = 200_000
 
+#: Rows of an Arrow batch at most, since texts may be long.
+BATCH_ROWS = 2000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -40,22 +43,30 @@ def work_dir(spark: SparkSession, name: str, listed: bool = True) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, fixes what each task made, survives lost executors.
 
     rows: of an Arrow batch meanwhile, so that batches of wide rows stay small.
     """
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, before = work_dir(spark, name), spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    spark = df.sparkSession
+    path, before = work_dir(spark, name), bounded_batches(spark, rows)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> int:
+    """Bounds the session's Arrow batches; what it was before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, min(rows, before) if before > 0 else rows)
+    return before
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -139,6 +150,23 @@ def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
     return out
 
 
+def document_shingles(split: list[list[bytes]], memo: WordHash, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of many documents' words at once: the hashes one document after the other, and how many each has."""
+    sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+    flat = memo.of([w for words in split for w in words])
+    count = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
+    start, first = np.cumsum(sizes) - sizes, np.cumsum(count) - count
+    out = np.empty(int(count.sum()), dtype=np.uint64)
+    long = np.flatnonzero(sizes >= k)
+    if len(long):
+        n = count[long]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(first[long], n) + within] = shingles(flat, k)[np.repeat(start[long], n) + within]
+    for d in np.flatnonzero((sizes > 0) & (sizes < k)):
+        out[first[d]] = shingles(flat[start[d] : start[d] + sizes[d]], k)[0]
+    return out, count
+
+
 def lower_sql(c: str = "text") -> str:
     """SQL (Spark and DuckDB) of a text with A-Z lower-cased, null as empty."""
     return f"translate(coalesce({c}, ''), '{UPPER}', '{LOWER}')"

@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, raw, shingles
+from .common import WordHash, blocks, distinct, document_shingles, raw, shingles
 
 #: Share of an item's shingles that make a document contaminated; MinHash functions; bounds of the size classes; items of one pass (the bound of what is broadcast).
 LEVEL, HASHES, LOW, RATIO, PASS = 0.75, 32, 8, 1.5, 20_000
+#: Bytes of text that are searched at once, so that their hashes stay in a core's cache.
+BLOCK = 1 << 20
 #: Other bytes than digits, letters and non-ASCII ones become spaces, A-Z lower case.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _ODD = (np.random.default_rng(5).integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -62,38 +64,40 @@ class Items:
 
     def matches(self, texts: list[bytes], words: WordHash) -> Iterator[tuple[int, int, int]]:
         """(text's index, item's index, shared shingles) of each text that has LEVEL of an item's shingles."""
-        docs = [_hashes(t, words) for t in texts]
-        sizes = np.array([len(d) for d in docs], dtype=np.int64)
+        flat, sizes = document_shingles([t.translate(_FOLD).split() for t in texts], words)
         if not sizes.sum() or not self.classes:
             return
-        flat, start = np.concatenate(docs), np.cumsum(sizes) - sizes
+        start = np.cumsum(sizes) - sizes
         proposed: set[tuple[int, int]] = set()
         grids = []
         for bound, members, least in self.classes:
             half = bound // 2
             count = -(-sizes // half)
-            owner = np.repeat(np.arange(len(docs)), count)
+            owner = np.repeat(np.arange(len(sizes)), count)
             at = start[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * half
-            grids.append((owner, at, members, least))
+            pairs = [np.flatnonzero(owner[step:] == owner[:-step]) for step in (1, 2)]
+            grids.append((owner, at, pairs, members, least))
         for f, c in enumerate(_ODD):
             hashed = flat * c
-            for owner, at, members, least in grids:
+            for owner, at, pairs, members, least in grids:
                 low = np.minimum.reduceat(hashed, at)
                 # windows of three half blocks of one document; its last ones are shorter
                 window = low.copy()
-                for step in (1, 2):
-                    same = np.flatnonzero(owner[step:] == owner[:-step])
+                for step, same in zip((1, 2), pairs):
                     window[same] = np.minimum(window[same], low[same + step])
-                lo = np.searchsorted(least[f], window, side="left")
-                for i in np.flatnonzero(least[f][np.minimum(lo, least.shape[1] - 1)] == window):
-                    for j in range(lo[i], least.shape[1]):
-                        if least[f, j] != window[i]:
-                            break
+                # by their first 16 bits most windows are none
+                first = np.zeros(1 << 16, dtype=bool)
+                first[least[f] >> np.uint64(48)] = True
+                maybe = np.flatnonzero(first[window >> np.uint64(48)])
+                lo = np.searchsorted(least[f], window[maybe], side="left")
+                for i, j in zip(maybe, lo):
+                    while j < least.shape[1] and least[f, j] == window[i]:
                         proposed.add((int(owner[i]), int(members[f, j])))
+                        j += 1
         last, own = -1, None
         for d, n in sorted(proposed):
             if d != last:
-                last, own = d, np.unique(docs[d])
+                last, own = d, distinct(flat[start[d] : start[d] + sizes[d]])
             s = self.sets[n]
             at = np.minimum(np.searchsorted(own, s), len(own) - 1)
             both = int((own[at] == s).sum())
@@ -119,7 +123,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, items = WordHash(), shared.value
-            for b in (x for y in batches for x in blocks([y])):
+            for b in (x for y in batches for x in blocks([y], most=BLOCK)):
                 ids = b.column("doc_id").to_pylist()
                 if found := list(items.matches(raw(b.column("text")), words)):
                     size = [len(items.sets[n]) for _, n, _ in found]
@@ -139,7 +143,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words = WordHash()
-            for b in (x for y in batches for x in blocks([y], names[text])):
+            for b in (x for y in batches for x in blocks([y], names[text], BLOCK)):
                 keep = np.ones(b.num_rows, dtype=bool)
                 keep[[d for d, _, _ in shared.value.matches(raw(b.column(text)), words)]] = False
                 yield b.filter(pa.array(keep))
