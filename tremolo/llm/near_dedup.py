@@ -247,7 +247,7 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = written(full.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     ids = written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "ids")
     sets = written(candidate_sets(docs, ids), "sets")
-    links = written(verified(pairs, sets), "links", rows=500)
+    links = written(verified(pairs, sets), "links", rows=50)
     so_far = components(links, "stars")
     marked = full.join(so_far, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"), "n", "size")
     mixed = marked.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
@@ -256,7 +256,7 @@ def classes(docs: DataFrame) -> DataFrame:
     active = written(active, "active")
     bands = nodes.select("node", "bands").join(active.select("node").distinct(), "node", "left_semi")
     twins = members.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v").select("u", "v")
-    crossed = written(crossing(active, sets, bands), "crossed", rows=500)
+    crossed = written(crossing(active, sets, bands), "crossed", rows=50)
     final = components(links.unionByName(crossed).unionByName(twins), "classes")
     named = members.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), "n_equal")
     alone = rows.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"))
