@@ -34,7 +34,7 @@ from .common import blocks, raw
 
 #: Labelled rows that are fitted on at most; order of the models; discount; folds by crc32(doc_id): 0 is held out; the curve is fitted on each other one as scored by the counts of the rest.
 MAX_TRAIN, ORDER, DISCOUNT, FOLDS = 20_000, 5, 0.75, 5
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 _PAD, _END = b"\x01" * (ORDER - 1), b"\x02"
 
 
@@ -185,12 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model | fl
     shared = docs.sparkSession.sparkContext.broadcast({part: Model(m) for part, m in without.items() if all(len(k) for k, _ in m)})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, dict[bytes, float]] = {part: {} for part in shared.value}
         for b in (x for y in batches for x in blocks([y])):
             texts, parts = raw(b.column("text")), b.column("fold").to_pylist()
             for part, m in shared.value.items():
                 own = [i for i, x in enumerate(parts) if x == part]
-                f = m.features([texts[i] for i in own], memo[part])
+                f = m.features([texts[i] for i in own], {})
                 yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic").take(pa.array(own, pa.int64())), "mean": f[:, 0], "top": f[:, 1]})
 
     # at most `most` rows of two numbers
