@@ -353,6 +353,25 @@ def test_url_templates(spark):
     assert all(v == ("block" if i % 2 else "allow") for i, v in got.items() if i < 100)
 
 
+def test_url_template_tree(spark):
+    """Directories with variable names, above the last segment, and similar sibling directories."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"https://h.net/user/{word(i // 2)}/{word(i)}post") for i in range(600)] + [(1000 + i, f"https://h.net/docs/{word(i // 4)}/{word(i)}page") for i in range(600)]
+    rows += [(2000 + 10 * i + j, f"https://k.net/{word(i)}/{word(j)}{'spam' if i < 6 else 'good'}") for i in range(60) for j in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    # of users every other page is labelled, of docs all, on k.net two of a directory's ten
+    bad = [(i, 1) for i in range(0, 600, 2)] + [(1000 + i, 0) for i in range(600)] + [(2000 + 10 * i + j, int(i < 6)) for i in range(60) for j in range(2)]
+    got = {r.page_id: r.verdict for r in url_filters.judge(pages, spark.createDataFrame(bad, "page_id long, bad int")).collect()}
+    assert {v for i, v in got.items() if i < 600} == {"block"} and {v for i, v in got.items() if 1000 <= i < 1600} == {"allow"}
+    assert all(v == ("block" if i < 2060 else "allow") for i, v in got.items() if i >= 2000)
+
+
+def test_url_deep_paths(spark):
+    pages = spark.createDataFrame([(1, "https://h.net/" + "a/" * 300 + "x"), (2, "https://h.net/a/b/y"), (3, "https://h.net//"), (4, "https://h.net/?*/z")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.judge(pages, spark.createDataFrame([(1, 1), (2, 0)], "page_id long, bad int")).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+
+
 # -- op 8 --------------------------------------------------------------------------
 
 

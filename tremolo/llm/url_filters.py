@@ -5,12 +5,22 @@ subdomains; the longest one wins. Other URLs are judged by a tree that is grown
 for each host from all URLs:
 
 1. Variable segments are generalised: runs of digits become `#`; where more than
-   WIDE different leaves stand below one branch, those seen once become `*`.
-2. Statistically similar leaves merge: a leaf whose share of bad labels is
-   within Z standard errors of its branch's (or that has no labels) becomes `*`.
+   WIDE different segments stand below one node, those seen once become `*`.
+2. Statistically similar siblings merge: a segment whose share of bad labels is
+   within Z standard errors of its parent's (or that has no labels) becomes `*`.
+   Of the directories that stay, those above the parent's share merge likewise if
+   they are within Z standard errors of their common share, and those below it.
 3. A template is rejected if its share of bad labels, smoothed by WEIGHT labels
    at the overall share, is at least BAD.
 
+Directories are generalised from the host down, a depth at a time, so that what
+has merged counts as one node further down; then come the leaves of what the
+directories have become. A depth takes one round of joins and a small table in
+the shared folder; a directory that is alone below its node is done at once.
+
+The SQL of op6 has the rule for leaves only. Both agree where no merging of
+directories changes a verdict, as on the driver's tables (paths of one directory).
+
 Counts are aggregated by template before they are shuffled, so a host with a
 third of all URLs is a few rows by then. Nulls: a null URL, or one without
 `://`, has an empty host and path, and belongs to one template like others;
@@ -24,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, written
 
 #: Host, path prefix, verdict (fixed values of the query's contract).
 RULES = [
@@ -64,19 +74,54 @@ def templates(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host", "branch", "leaf").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
 
 
-def rejected(leaves: DataFrame) -> DataFrame:
-    """host, branch, leaf of the rejected templates; the leaves that merged are listed each."""
-    branch = leaves.groupBy("host", "branch").agg(F.count("*").alias("kinds"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    share = F.try_divide("all_bad", "all_labelled")
+def _alike(share: Column) -> Column:
+    """Whether labelled and bad are within Z standard errors of a share, or there are no labels."""
     error = F.sqrt(F.try_divide(share * (1 - share), "labelled"))
-    alike = (F.col("labelled") == 0) | F.coalesce(F.abs(F.try_divide("bad", "labelled") - share) <= Z * error, F.lit(False))
+    return (F.col("labelled") == 0) | F.coalesce(F.abs(F.try_divide("bad", "labelled") - share) <= Z * error, F.lit(False))
+
+
+def directories(leaves: DataFrame) -> DataFrame:
+    """host, branch, node of each branch: node is the branch with merged segments as ?*, ?+ or ?- (no path has a question mark)."""
+    parts = F.split("branch", "/")
+    first = leaves.groupBy("host", "branch").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+    live = first.select("host", "branch", F.substring("branch", 1, 1).alias("node"), F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))).alias("left"), "n", "labelled", "bad")
+    done = None
+    while True:
+        live = written(live, "directories")
+        ended = live.where("size(left) = 0").select("host", "branch", "node")
+        done = ended if done is None else done.unionByName(ended)
+        live = live.where("size(left) > 0")
+        if live.isEmpty():
+            return done
+        live = live.withColumn("part", F.col("left")[0])
+        kids = live.groupBy("host", "node", "part").agg(F.count("*").alias("branches"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        above = kids.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("branches").alias("below"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        share = F.try_divide("all_bad", "all_labelled")
+        side = F.when(_alike(share) | ((F.col("kinds") > WIDE) & (F.col("n") == 1)), "?*").when(F.try_divide("bad", "labelled") > share, "?+").otherwise("?-")
+        kids = kids.join(above, ["host", "node"]).select("host", "node", "part", "labelled", "bad", side.alias("side"), (F.col("below") == 1).alias("alone"))
+        pools = kids.groupBy("host", "node", "side").agg(F.sum("labelled").alias("pool_labelled"), F.sum("bad").alias("pool_bad"))
+        merges = (F.col("side") == "?*") | _alike(F.try_divide("pool_bad", "pool_labelled"))
+        kids = kids.join(pools, ["host", "node", "side"]).select("host", "node", "part", "alone", F.when(merges, F.col("side")).otherwise(F.col("part")).alias("name"))
+        name = F.concat("node", "name", F.lit("/"))
+        rest = F.expr("slice(left, 2, size(left))")
+        # alone: each segment further down has its parent's share
+        live = live.join(kids, ["host", "node", "part"]).select("host", "branch", F.when(F.col("alone"), F.concat(name, F.expr("repeat('?*/', size(left) - 1)"))).otherwise(name).alias("node"), F.when(F.col("alone"), F.slice("left", 1, 0)).otherwise(rest).alias("left"), "n", "labelled", "bad")
+
+
+def rejected(leaves: DataFrame) -> DataFrame:
+    """host, branch, leaf of the rejected templates; the branches and leaves that merged are listed each."""
+    leaves = written(leaves, "leaves")
+    own = leaves.join(directories(leaves), ["host", "branch"])
+    merged = own.groupBy("host", "node", "leaf").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+    node = merged.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
     rare = (F.col("kinds") > WIDE) & (F.col("n") == 1)
-    tree = leaves.join(branch, ["host", "branch"]).select("host", "branch", "leaf", "n", "labelled", "bad", F.when(alike | rare, F.lit("*")).otherwise(F.col("leaf")).alias("template"))
+    tree = merged.join(node, ["host", "node"]).select("host", "node", "leaf", "n", "labelled", "bad", F.when(_alike(F.try_divide("all_bad", "all_labelled")) | rare, F.lit("*")).otherwise(F.col("leaf")).alias("template"))
     total = leaves.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("prior"))
-    node = tree.groupBy("host", "branch", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    template = tree.groupBy("host", "node", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     # the prior is one row
-    judged = node.join(F.broadcast(total)).where((F.col("bad") + WEIGHT * F.col("prior")) / (F.col("labelled") + WEIGHT) >= BAD)
-    return tree.select("host", "branch", "leaf", "template").join(judged.select("host", "branch", "template"), ["host", "branch", "template"]).select("host", "branch", "leaf")
+    judged = template.join(F.broadcast(total)).where((F.col("bad") + WEIGHT * F.col("prior")) / (F.col("labelled") + WEIGHT) >= BAD)
+    bad = tree.select("host", "node", "leaf", "template").join(judged.select("host", "node", "template"), ["host", "node", "template"])
+    return own.join(bad.select("host", "node", "leaf"), ["host", "node", "leaf"]).select("host", "branch", "leaf")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
