@@ -19,3 +19,11 @@ def test_split_contexts(spark, monkeypatch):
         assert split[i].base_score == r.base_score and split[i].n_known == r.n_known
         assert abs(split[i].score - r.score) < 0.02 * abs(r.score)  # discounts are estimated shard by shard
         assert abs(one[i].score - r.score) < 0.02 * abs(r.score)
+
+
+def test_query_uses_two_words_of_context(spark):
+    """Documents of equal words and pairs, but whose triples are seen or not."""
+    rows = [(None, text) for text in ("a x p", "b x q") for _ in range(50)] + [(29, "a x p"), (37, "a x q")]  # these two are held out
+    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, rows)).collect()}
+    assert got[29].held_out and got[37].held_out and got[29].base_score == got[37].base_score
+    assert got[29].score > got[37].score + 0.5

@@ -52,7 +52,7 @@ from .common import WordHash, blocks, distinct, mix, raw, spread, trim, written
 from .elias_fano import EliasFano
 
 #: Length of n-grams; bytes of text of a block; training and other tokens for each shard; one in so many documents is held out.
-ORDER, BLOCK, SHARD, HELD = 2, 4 << 20, 2_000_000, 10
+ORDER, BLOCK, SHARD, HELD = 3, 4 << 20, 2_000_000, 10
 #: Codes of probabilities: steps of log10, as 16 bits; the last code is 0.
 STEP, ZERO = 4096.0, 65535
 #: Hashes that stand for the start of a text and its end.
