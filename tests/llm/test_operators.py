@@ -246,6 +246,17 @@ def test_packing(spark, docs):
         assert len(at) == len(room) + sum(len(x) // 1024 for own in ids.values() for x in own)
 
 
+def test_packed_sequences_hold_the_ids(spark):
+    df = frame(spark)
+    got: dict[int, list] = {}
+    for r in packing.pack(df).collect():
+        got.setdefault(r.sequence_id, []).append((r.offset, r.doc_id, r.start, np.frombuffer(bytes(r.ids), dtype="<u4").tolist()))
+    assert all(o == sum(len(x[3]) for x in sorted(own)[:k]) for own in got.values() for k, (o, *_) in enumerate(sorted(own)))
+    left = Counter(tuple(x[1:3]) + (tuple(x[3]),) for own in got.values() for x in own)
+    want = Counter((i, a, tuple(ids[a : a + 1024])) for i, t in pairs_of(df) for ids in [[*token_ids(t), 0]] for a in range(0, len(ids), 1024))
+    assert left == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_plan_places_every_piece(sizes):

@@ -9,6 +9,10 @@ length: the driver plans over that histogram (never over documents), and the
 plan's steps (at most about 2 * window ** 2, a few thousand in practice) go to
 the tasks, where a piece's rank among those of its length finds its place.
 
+The ids are kept: compressed with their block while the packing is planned, then
+with each piece as 32-bit little-endian numbers. A sequence is its pieces' ids in
+the order of their offsets.
+
 Null texts count as empty and give one piece, the end id. Rows with equal or
 null doc_ids are packed each for itself. An empty table gives no rows.
 """
@@ -16,17 +20,19 @@ null doc_ids are packed each for itself. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, written
 
 WINDOW, END_ID, BLOCK = 1024, 0, 32 << 20
+#: Blocks of an Arrow batch where ids travel.
+BATCH = 16
 _coders: dict[str, object] = {}
 
 
@@ -126,44 +132,45 @@ def _ranks(sizes: np.ndarray) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """A row for each block of documents: its pieces as arrays, and how many there are of each length."""
-    schema = "block string, doc_id array<long>, start array<long>, length array<long>, ids_crc32 array<long>, doc_tokens array<long>, rank array<long>, sizes array<long>, counts array<long>"
+    """A row for each block of documents: its pieces as arrays, their ids compressed one after the other, and how many there are of each length."""
+    schema = "block string, doc_id array<long>, start array<long>, length array<long>, doc_tokens array<long>, rank array<long>, sizes array<long>, counts array<long>, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        encode = coder(path).encode_ordinary
+        encode, z = coder(path).encode_ordinary, zstandard.ZstdCompressor(level=1)
         for b in (x for y in batches for x in blocks([y], most=BLOCK)):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
+            kept: list[np.ndarray] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
+                kept.append(ids)
                 for start in range(0, len(ids), window):
-                    own = ids[start : start + window]
-                    for x, v in zip(out, (doc, start, len(own), zlib.crc32(own.tobytes()), len(ids))):
+                    for x, v in zip(out, (doc, start, min(window, len(ids) - start), len(ids))):
                         x.append(v)
             sizes = np.array(out[2], dtype=np.int64)
             kinds, counts = np.unique(sizes, return_counts=True)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([list(x)], longs) for x in (*out, _ranks(sizes), kinds, counts))], names=["block", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "sizes", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([list(x)], longs) for x in (*out, _ranks(sizes), kinds, counts)), pa.array([z.compress(np.concatenate(kept).tobytes())], pa.binary())], names=["block", "doc_id", "start", "length", "doc_tokens", "rank", "sizes", "counts", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, 4 bytes each)."""
     table = written(pieces(docs, ranks_path(path), window), "pieces")
     by = table.select("block", F.explode(F.arrays_zip("sizes", "counts")).alias("x")).select("block", F.col("x.sizes").alias("size"), F.col("x.counts").alias("n"))
     steps = plan({r["size"]: r["n"] for r in by.groupBy("size").agg(F.sum("n").alias("n")).collect()}, window)  # a row for each length, at most `window`
     before = F.sum("n").over(Window.partitionBy("size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     firsts = by.select("block", "size", F.coalesce(before, F.lit(0)).alias("first")).groupBy("block").agg(F.collect_list(F.struct("size", "first")).alias("firsts"))
-    rows = table.join(firsts, "block").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", F.col("firsts.size").alias("size"), F.col("firsts.first").alias("first"))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    rows = table.join(firsts, "block").select("doc_id", "start", "length", "doc_tokens", "rank", "ids", F.col("firsts.size").alias("size"), F.col("firsts.first").alias("first"))
+    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = np.int64(1) << np.int64(50)
         key = steps[:, 0] * wide + steps[:, 1]
         order = np.argsort(key)
-        own, key = steps[order], key[order]
+        own, key, z = steps[order], key[order], zstandard.ZstdDecompressor()
         for b in batches:
             for i in range(b.num_rows):
                 get = lambda c: b.column(c)[i].values
@@ -173,6 +180,9 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
                 rank = get("rank").to_numpy(zero_copy_only=False) + first[length]
                 s = own[np.searchsorted(key, length * wide + rank, side="right") - 1]
                 j = rank - s[:, 1]
-                yield pa.RecordBatch.from_pydict({c: get(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")} | {"sequence_id": s[:, 3] + j // s[:, 4], "offset": s[:, 5] + j % s[:, 4] * length})
+                ends = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(z.decompress(b.column("ids")[i].as_py()))])
+                yield pa.RecordBatch.from_pydict({c: get(c) for c in ("doc_id", "start", "length", "doc_tokens")} | {"sequence_id": s[:, 3] + j // s[:, 4], "offset": s[:, 5] + j % s[:, 4] * length, "ids": ids})
 
-    return rows.mapInArrow(place, schema)
+    placed = written(rows.mapInArrow(place, schema), "placed", rows=BATCH)
+    return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")

@@ -39,7 +39,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
