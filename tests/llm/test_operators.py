@@ -415,6 +415,12 @@ def test_toxicity_without_labels(spark):
     assert {r.predicted for r in toxicity.report(frame(spark), ordinary).collect()} == {0}
 
 
+def test_drop_toxic_without_both_classes(spark):
+    for known in ([], [(7, 1), (14, 1)], [(7, None)]):
+        left = toxicity.drop_toxic(frame(spark), spark.createDataFrame(known, "doc_id long, toxic int"))
+        assert left.columns == frame(spark).columns and left.count() == len(texts())
+
+
 # -- all -----------------------------------------------------------------------------
 
 

@@ -225,5 +225,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below 0.5; same columns."""
-    return _with_score(docs, fit(docs, labels), "toxic_score").where("toxic_score < 0.5").drop("toxic_score").toDF(*docs.columns)
+    """The rows of docs that score below 0.5, same columns; all rows if the labels do not have both classes, as nothing is learnt."""
+    model = fit(docs, labels)
+    if isinstance(model, float):
+        return docs
+    return _with_score(docs, model, "toxic_score").where("toxic_score < 0.5").drop("toxic_score").toDF(*docs.columns)
