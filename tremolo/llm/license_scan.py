@@ -10,13 +10,16 @@ lower-cased) joined by a space. Beside the fuzzy notices, the places of BASE
 phrases (whole words) are counted exactly.
 
 Null and empty texts have no words, no places and empty labels. Repeated rows
-and null doc_ids are scanned each. Windows are as long as a notice, whatever the
-text's length; equal windows are verified once a block. An empty table gives no
-rows; other columns are untouched.
+and null doc_ids are scanned each. Windows are as long as a notice and its edits,
+whatever the text's length; equal windows are verified once. Of overlapping spans
+of one notice the one with the least edits is reported (then the first); spans of
+different notices may overlap. An empty table gives no rows; other columns are
+untouched.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,25 +79,37 @@ class Searcher:
         self.verify = lru_cache(maxsize=4096)(self._verify)
 
     def _verify(self, notice: int, window: str) -> list[tuple[int, int, int]]:
-        return [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[notice].finditer(window)]
+        """The best match of a window, and the best ones of what stands before and behind it."""
+        m = self.patterns[notice].search(window)
+        if not m:
+            return []
+        a, b, least = m.start(), m.end(), len(self.notices[notice][0]) - self.edits[notice]
+        before = self._verify(notice, window[:a]) if a >= least else []
+        behind = [(b + x, b + y, e) for x, y, e in self._verify(notice, window[b:])] if len(window) - b >= least else []
+        return [*before, (a, b, sum(m.fuzzy_counts)), *behind]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, stop, edits) of each notice that text has, positions in characters."""
-        windows: dict[int, list[list[int]]] = {}
+        """(notice, start, stop, edits) of each notice that text has, positions in characters.
+
+        Each seed's own window is searched, so a better notice close by hides none. Of
+        spans of one notice that overlap, the one with the least edits stays, then the
+        first, then the shortest.
+        """
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (n, of) in self.automaton.iter(text):
             for notice, offset in of:
                 k = self.edits[notice]
-                start = max(0, end + 1 - n - offset - k)
-                stop = start + len(self.notices[notice][0]) + 3 * k
-                own = windows.setdefault(notice, [])
-                if own and start <= own[-1][1]:
-                    own[-1][0], own[-1][1] = min(own[-1][0], start), max(own[-1][1], stop)
-                else:
-                    own.append([start, stop])
+                start = end + 1 - n - offset - k
+                windows.setdefault(notice, set()).add((max(0, start), start + len(self.notices[notice][0]) + 3 * k))
         found = []
         for notice, own in windows.items():
-            for start, stop in own:
-                found += [(notice, start + a, start + b, e) for a, b, e in self.verify(notice, text[start:stop])]
+            spans = {(e, start + a, start + b) for start, stop in own for a, b, e in self.verify(notice, text[start:stop])}
+            taken: list[tuple[int, int]] = []  # disjoint, in order
+            for e, a, b in sorted(spans):
+                i = bisect_left(taken, (a, b))
+                if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                    taken.insert(i, (a, b))
+                    found.append((notice, a, b, e))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
