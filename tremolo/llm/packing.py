@@ -13,14 +13,18 @@ The ids are kept: compressed with their block while the packing is planned, then
 with each piece as 32-bit little-endian numbers. A sequence is its pieces' ids in
 the order of their offsets.
 
-Null texts count as empty and give one piece, the end id. Rows with equal or
+Special tokens that stand in a text get their own ids, as the tokenizer's default
+has it. Null texts count as empty and give one piece, the end id. Rows with equal or
 null doc_ids are packed each for itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +41,18 @@ _coders: dict[str, object] = {}
 
 
 def coder(path: str):
-    """The tokenizer of a file of byte-level BPE ranks, which has the ids of the JSON file of the same name."""
+    """The tokenizer of a file of byte-level BPE ranks, which has the ids, and the special tokens, of the JSON file of the same name."""
     if path not in _coders:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _coders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        special, whole = {}, path.removesuffix(".tiktoken") + ".json"
+        if os.path.exists(whole):
+            with open(whole, encoding="utf-8") as f:
+                special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        _coders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _coders[path]
 
 
@@ -138,7 +146,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        encode, z = coder(path).encode_ordinary, zstandard.ZstdCompressor(level=1)
+        encode, z = partial(coder(path).encode, allowed_special="all", disallowed_special=()), zstandard.ZstdCompressor(level=1)
         for b in (x for y in batches for x in blocks([y], most=BLOCK)):
             out: list[list] = [[], [], [], []]
             kept: list[np.ndarray] = []
