@@ -2,16 +2,18 @@
 
 Each class (toxic, ordinary) has a model of the bytes of lower-cased words,
 order ORDER with word boundaries: discounted counts of the class, interpolated
-with one backoff distribution of continuation counts that both classes share, so
-that what neither class has seen tells nothing and a rare expression is judged
-by the parts that it shares with known ones. A text's two features are the
-difference of the length-normalised log-likelihoods (bits a byte) and the
-largest difference of a single expression; a logistic curve, fitted on labelled
-texts that the counts have not seen, makes a score of them (each training fold as scored by the counts of the others).
-
-The models are fitted on at most MAX_TRAIN labelled rows (the ones with the
-least hashes of their ids); scoring reads every text whole.
-
+with backoff distributions of continuation counts that both classes share, order
+by order down to single bytes, so that what neither class has seen tells nothing
+and a rare expression is judged by the parts that it shares with known ones. Both
+features of a text are differences of length-normalised log-likelihoods (bits a
+byte): of the whole text, and of the expression in which they differ most; a
+logistic curve, fitted on labelled texts that the counts have not seen, makes a
+score of them (each training fold as scored by the counts of the others).
+
+The models are fitted on the texts of at most MAX_TRAIN labelled ids (the ones
+with the least hashes); scoring reads every text whole.
+
+A very long text is scored whole, in one piece. A score of just 0.5 is toxic.
 Null and empty texts have no words: both features are 0. Labels that are null
 are left out; of several for one doc_id the largest counts. Without labels of
 both classes every score is the smoothed share of toxic labels (0.5 without
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import truediv
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import blocks, raw
 
-#: Labelled rows that are fitted on at most; order of the models; discount; folds by crc32(doc_id): 0 is held out; the curve is fitted on each other one as scored by the counts of the rest.
+#: Labelled ids that are fitted on at most; order of the models; discount; folds by crc32(doc_id): 0 is held out; the curve is fitted on each other one as scored by the counts of the rest.
 MAX_TRAIN, ORDER, DISCOUNT, FOLDS = 20_000, 5, 0.75, 5
 MEMO_WORDS = 150_000
 _PAD, _END = b"\x01" * (ORDER - 1), b"\x02"
@@ -69,6 +72,20 @@ def _lookup(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np
     return found, np.where(found, values[at], 0.0)
 
 
+def _continuation(grams: np.ndarray, order: int) -> np.ndarray:
+    """Kneser-Ney probability of the last byte of each window by what all windows show of the shorter ones: discounted counts of the distinct bytes before them, order by order down to a uniform one."""
+    tail = grams & np.uint64((1 << 8 * (order - 1)) - 1)
+    tails, kinds = np.unique(tail, return_counts=True)
+    if order == 2:  # single bytes
+        p = (np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * len(kinds) / 256) / kinds.sum()
+    else:
+        context = tails >> np.uint64(8)
+        heads, n = _merge(context, kinds.astype(float))
+        at = np.searchsorted(heads, context)
+        p = (np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * np.bincount(at)[at] * _continuation(tails, order - 1)) / n[at]
+    return p[np.searchsorted(tails, tail)]
+
+
 class Model:
     """Log ratios (toxic against ordinary) of windows seen in training and of the backoff weights of their contexts."""
 
@@ -76,11 +93,7 @@ class Model:
         eight = np.uint64(8)
         self.grams = np.unique(np.concatenate([k for k, _ in seen]))
         self.contexts = np.unique(self.grams >> eight)
-        # shared continuation counts: distinct first bytes before the rest of a window
-        tail = self.grams & np.uint64((1 << 8 * (ORDER - 1)) - 1)
-        tails, kinds = np.unique(tail, return_counts=True)
-        heads, n = _merge(tails >> eight, kinds.astype(float))
-        shared = (kinds / n[np.searchsorted(heads, tails >> eight)])[np.searchsorted(tails, tail)]
+        shared = _continuation(self.grams, ORDER)
         at = np.searchsorted(self.contexts, self.grams >> eight)
         logs, weights = [], []
         for keys, counts in seen:
@@ -103,19 +116,21 @@ class Model:
         return np.bincount(own, weights=value, minlength=len(words))
 
     def features(self, texts: list[bytes], memo: dict[bytes, float]) -> np.ndarray:
-        """Mean ratio of a byte, and the largest ratio of a word, of each text."""
+        """Mean ratio of a byte of each text, and of a byte of the word where it is largest."""
         split = [t.lower().split() for t in texts]
         fresh = list({w for ws in split for w in ws if w not in memo})
         if len(memo) + len(fresh) > MEMO_WORDS:
             memo.clear()
             fresh = list({w for ws in split for w in ws})
         for i in range(0, len(fresh), 50_000):
-            memo.update(zip(fresh[i : i + 50_000], self.words(fresh[i : i + 50_000]).tolist()))
+            part = fresh[i : i + 50_000]
+            memo.update(zip(part, self.words(part).tolist()))
         out = np.zeros((len(texts), 2))
         for i, ws in enumerate(split):
             if ws:
                 v = [memo[w] for w in ws]
-                out[i] = sum(v) / sum(map(len, ws), len(ws)), max(v)
+                n = [len(w) + 1 for w in ws]
+                out[i] = sum(v) / sum(n), max(map(truediv, v, n))
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -147,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model | fl
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 0)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` ids, so the side is bounded
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), fold().cast("int").alias("fold"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), fold().cast("int").alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(seen):
@@ -190,10 +205,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model | fl
             for part, m in shared.value.items():
                 own = [i for i, x in enumerate(parts) if x == part]
                 f = m.features([texts[i] for i in own], {})
-                yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic").take(pa.array(own, pa.int64())), "mean": f[:, 0], "top": f[:, 1]})
+                at = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(at), "toxic": b.column("toxic").take(at), "mean": f[:, 0], "top": f[:, 1]})
 
-    # at most `most` rows of two numbers
-    own = rows.mapInArrow(measure, "toxic int, mean double, top double").collect()
+    # at most `most` rows, as rows of one doc_id count by their mean
+    own = rows.mapInArrow(measure, "doc_id long, toxic int, mean double, top double").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.avg("mean").alias("mean"), F.avg("top").alias("top")).collect()
     y = np.array([r.toxic for r in own], dtype=float)
     if 0 < y.sum() < len(y):
         model.curve = _logistic(np.array([[r.mean, r.top] for r in own]), y)
