@@ -11,9 +11,13 @@ shares none of them with probability .7 ** 32 = 1e-5. Every proposal is
 verified by exact containment: the share of the item's distinct five-word
 shingles that the whole document has.
 
+Items of fewer than FEW shingles must be there whole, so they are proposed by
+their first shingle, exactly; an item of fewer than five words is the one run of
+its words, which is sought as such in documents of any length.
+
 Words here are runs of letters, digits and non-ASCII characters, A-Z
-lower-cased, so that punctuation makes no difference. An item of fewer than five
-words is one shingle and matches documents of just these words. Null and empty
+lower-cased, so that punctuation makes no difference. Very long texts are blocks
+by themselves. Null and empty
 texts have no shingles and match nothing; null ids are carried along; equal
 items are reported each; repeated documents too. Empty tables give no pairs (or
 all documents back). Other columns are untouched.
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import WordHash, blocks, distinct, document_shingles, raw, shingles
 
 #: Share of an item's shingles that make a document contaminated; MinHash functions; bounds of the size classes; items of one pass (the bound of what is broadcast).
-LEVEL, HASHES, LOW, RATIO, PASS = 0.75, 32, 8, 1.5, 20_000
+LEVEL, HASHES, LOW, RATIO, PASS = 0.75, 32, 4, 1.5, 20_000
+#: Items of fewer shingles are sought exactly, since LEVEL of them is all of them.
+FEW = 4
 #: Bytes of text that are searched at once, so that their hashes stay in a core's cache.
 BLOCK = 1 << 20
 #: Other bytes than digits, letters and non-ASCII ones become spaces, A-Z lower case.
@@ -39,19 +45,20 @@ _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else b + 32 if 65
 _ODD = (np.random.default_rng(5).integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def _hashes(text: bytes, words: WordHash) -> np.ndarray:
-    return shingles(words.of(text.translate(_FOLD).split()))
-
-
 class Items:
     """Size classes of test items, each with the items' MinHash values."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
         words = WordHash()
-        kept = [(i, s) for i, t in rows if len(s := np.unique(_hashes((t or "").encode(), words)))]
-        self.ids, self.sets = [i for i, _ in kept], [s for _, s in kept]
+        kept = [(i, s, min(5, len(w))) for i, t in rows if len(s := np.unique(shingles(words.of(w := (t or "").encode().translate(_FOLD).split()))))]
+        self.ids, self.sets = [i for i, _, _ in kept], [s for _, s, _ in kept]
         by: dict[int, list[int]] = {}
-        for n, s in enumerate(self.sets):
+        # by words of a shingle (under five: those of the whole item), the first shingle and the item
+        few: dict[int, list[tuple[int, int]]] = {}
+        for n, (_, s, w) in enumerate(kept):
+            if len(s) < FEW:
+                few.setdefault(w, []).append((int(s[0]), n))
+                continue
             bound = LOW
             while bound < len(s):
                 bound = int(bound * RATIO)
@@ -62,13 +69,31 @@ class Items:
             order = np.argsort(least, axis=1, kind="stable")
             self.classes.append((bound, np.array(members)[order], np.take_along_axis(least, order, axis=1)))
 
+        self.few = {w: (np.array(sorted(own), dtype=object)[:, 0].astype(np.uint64), np.array(sorted(own), dtype=object)[:, 1].astype(np.int64)) for w, own in few.items()}
+
+    def _exactly(self, hashes: np.ndarray, owner: np.ndarray, firsts: np.ndarray, members: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) where a text has the first shingle of a short item."""
+        at = np.flatnonzero(np.isin(hashes, firsts))
+        lo, hi = (np.searchsorted(firsts, hashes[at], side=s) for s in ("left", "right"))
+        return {(int(owner[i]), int(members[j])) for i, a, b in zip(at, lo, hi) for j in range(a, b)}
+
     def matches(self, texts: list[bytes], words: WordHash) -> Iterator[tuple[int, int, int]]:
         """(text's index, item's index, shared shingles) of each text that has LEVEL of an item's shingles."""
-        flat, sizes = document_shingles([t.translate(_FOLD).split() for t in texts], words)
-        if not sizes.sum() or not self.classes:
+        split = [t.translate(_FOLD).split() for t in texts]
+        flat, sizes = document_shingles(split, words)
+        if not sizes.sum() or not self.sets:
             return
         start = np.cumsum(sizes) - sizes
         proposed: set[tuple[int, int]] = set()
+        for w, (firsts, members) in self.few.items():
+            if w == 5:
+                proposed |= self._exactly(flat, np.repeat(np.arange(len(sizes)), sizes), firsts, members)
+            else:  # such an item is its one run of words
+                long = [i for i, x in enumerate(split) if len(x) >= w]
+                runs = [shingles(words.of(split[i]), w) for i in long]
+                if runs:
+                    owner = np.repeat(long, [len(r) for r in runs])
+                    yield from sorted((i, n, 1) for i, n in self._exactly(np.concatenate(runs), owner, firsts, members))
         grids = []
         for bound, members, least in self.classes:
             half = bound // 2
