@@ -4,10 +4,10 @@ An interpolated n-gram model with absolute discounts, over hashes of words; its
 unigrams are the add-0.1 estimate of the base score:
 
     p_1(w) = (c + 0.1) / (N + 0.1 (V + 1))
-    p_k(w | h) = (c(h w) - D(c)) / c(h) + b(h) p_(k-1)(w | shorter h)
+    p_k(w | h) = (c(h w) - D) / c(h) + b(h) p_(k-1)(w | shorter h)
 
-with discounts D for counts 1, 2 and above from the counts of counts, and b(h)
-what the discounts leave, so each level sums to one (up to quantisation).
+with one discount D for all counts and b(h) what it leaves, so each level sums to
+one (up to quantisation) and no score depends on how the work is dealt out.
 
 The trie is spread over shards by context: a shard holds the contexts that hash
 to it (sorted, Elias-Fano), monotone pointers to their followers, the followers
@@ -53,6 +53,8 @@ from .elias_fano import EliasFano
 
 #: Length of n-grams; bytes of text of a block; training and other tokens for each shard; one in so many documents is held out.
 ORDER, BLOCK, SHARD, HELD = 3, 4 << 20, 2_000_000, 10
+#: What is taken from each count of an n-gram.
+DISCOUNT = 0.75
 #: Codes of probabilities: steps of log10, as 16 bits; the last code is 0.
 STEP, ZERO = 4096.0, 65535
 #: Hashes that stand for the start of a text and its end.
@@ -105,14 +107,13 @@ class NgramTrie:
         new[1:] = context[1:] != context[:-1]
         owner, first = np.cumsum(new) - 1, np.flatnonzero(new)
         total = np.add.reduceat(count, first) if len(first) else np.empty(0)
-        cut = discounts(count)[np.minimum(count, 3).astype(np.int64)]
-        left = np.add.reduceat(cut, first) if len(first) else np.empty(0)
+        left = DISCOUNT * np.diff([*first, len(context)])
         relative = (owner.astype(np.uint64) << np.uint64(32)) | follower.astype(np.uint64)
         ends = np.array([*first, len(context)], dtype=np.uint64)
         scale = total.astype(float)
         if parts is not None and len(parts):
             scale[np.isin(context[first], parts)] = COUNT_SCALE
-        trie = cls(EliasFano.encode(context[first]), EliasFano.encode(ends), EliasFano.encode(relative), quantise((count - cut) / scale[owner]), quantise(left / total))
+        trie = cls(EliasFano.encode(context[first]), EliasFano.encode(ends), EliasFano.encode(relative), quantise((count - DISCOUNT) / scale[owner]), quantise(left / total))
         trie.masses = (context[first], total.astype(float), left)
         return trie
 
@@ -153,16 +154,6 @@ class NgramTrie:
         return codes, weights
 
 
-def discounts(count: np.ndarray) -> np.ndarray:
-    """What is taken from counts 0 (nothing), 1, 2, and 3 or more, from how many have counts 1 to 4."""
-    n = [int((count == i).sum()) for i in range(1, 5)]
-    if not all(n[:3]):
-        return np.array([0.0, 0.75, 0.75, 0.75])
-    y = n[0] / (n[0] + 2 * n[1])
-    raw_ = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-    return np.array([0.0, *(min(max(d, 0.1), i - 0.05) for i, d in enumerate(raw_, 1))])
-
-
 def tokenised(docs: DataFrame) -> DataFrame:
     """Token blocks: block, doc_ids, held, lengths (words and the end), ids (each token's place in words), words (sorted hashes), n, n_train, frequent (words that may be hot contexts, and how many tokens they precede)."""
 
