@@ -36,7 +36,7 @@ def _digests(texts: list[bytes]) -> tuple[list[str], np.ndarray]:
 
 
 def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return (keys[:, 0] & np.uint64(255)) * np.uint64(ranges) >> np.uint64(8) if ranges > 1 else np.zeros(len(keys), dtype=np.uint64)
+    return (keys[:, 0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32) if ranges > 1 else np.zeros(len(keys), dtype=np.uint64)
 
 
 def digests(docs: DataFrame, ranges: int) -> DataFrame:
