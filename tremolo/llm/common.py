@@ -23,8 +23,8 @@ BLOCK_BYTES = 8 << 20
 #: Words a task remembers the hash of; the memory is emptied beyond that.
 MEMO_WORDS = 200_000
 
-#: Rows of an Arrow batch at most, since texts may be long.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch at most, since texts may be long; rows that the Parquet reader decodes at once, for the same reason.
+BATCH_ROWS, READER_ROWS = 2000, 512
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -58,9 +58,10 @@ def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> int:
-    """Bounds the session's Arrow batches; what it was before."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Bounds the session's Arrow batches (and the rows that are decoded at once); what it was before."""
+    key, reader = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
     before = int(spark.conf.get(key))
+    spark.conf.set(reader, min(READER_ROWS, int(spark.conf.get(reader))))
     spark.conf.set(key, min(rows, before) if before > 0 else rows)
     return before
 
