@@ -81,10 +81,10 @@ def test_number_quirk_and_levels(spark):
 
 
 def test_scorer_example(spark):
-    rows = spark.createDataFrame([("Stability", "paraphrase", 0.85, 0.6), ("Stability", "noise", 0.92, 0.5)], "category string, family string, p_score double, fwe double")
-    r = scoring.CategoryScorer("Stability", dict(scoring.BUSINESS_WEIGHTS["Stability"])).score(rows).first()
+    rows = spark.createDataFrame([("Steadiness", "paraphrase", 0.85, 0.6), ("Steadiness", "noise", 0.92, 0.5)], "category string, family string, p_score double, fwe double")
+    r = scoring.CategoryScorer("Steadiness", dict(scoring.BUSINESS_WEIGHTS["Steadiness"])).score(rows).first()
     assert (r.p_primary, r.p_harmonic) == (0.8792, 0.8778)
-    scorer = scoring.CategoryScorer("Stability", {"a": 1.0, "b": 3.0})
+    scorer = scoring.CategoryScorer("Steadiness", {"a": 1.0, "b": 3.0})
     scorer.update("a", 0.75)
     assert sum(scorer.weights.values()) == pytest.approx(1)
     for bad in (lambda: scorer.update("a", -1), lambda: scorer.blend(2)):
@@ -187,9 +187,71 @@ def test_system_under_test(spark):
     assert sorted(r.raw_response for r in ask(plan, lambda q: q + "!").collect()) == ["2!", "3!"]
 
     def broken(q):
-        raise RuntimeError("down")
+        if q == "2":
+            raise RuntimeError("down")
+        return q
 
-    assert {r.run_status for r in ask(plan, broken).collect()} == {"error: down"}
+    got = {r.input: r for r in ask(plan, broken, tries=3, pause=0.01).collect()}
+    assert (got["2"].run_status, got["2"].raw_response, got["2"].tries) == ("error: down", None, 3)
+    assert (got["3"].run_status, got["3"].raw_response, got["3"].tries) == ("ok", "3", 1)  # a failing row costs no other
+
+
+def test_a_call_that_fails_twice():
+    from tremolo.operators.evaluate import attempt
+
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("busy")
+        return "yes"
+
+    out, status, ms, tries = attempt(flaky, pause=0.02)
+    assert (out, status, tries) == ("yes", "ok", 3) and ms >= 60  # pauses of .02 and .04 s
+
+
+def test_judge_records(spark):
+    from tremolo.operators.generate import generated, judged
+
+    def judge(o, c):
+        if c == "x":
+            raise RuntimeError("no answer")
+        return '{"same_meaning": true, "confidence": 0.9, "explanation": "alike"}' if o == c else "No, they differ."
+
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "x")], "o string, c string")
+    got = {r.c: r for r in judged(pairs, judge, model="m", tries=2, pause=0.01).collect()}
+    assert (got["a"].same_meaning, got["a"].confidence, got["a"].explanation, got["a"].error, got["a"].model) == (True, 0.9, "alike", None, "m")
+    assert (got["b"].same_meaning, got["b"].confidence) == (False, 0.5) and got["b"].explanation.startswith("No")
+    assert (got["x"].same_meaning, got["x"].verdict, got["x"].error, got["x"].tries) == (None, None, "error: no answer", 2)
+    made = generated(pairs.select("o"), lambda row: row["o"] * 2).collect()
+    assert [(r.c, r.status, r.tries) for r in made] == [("aa", "ok", 1)] * 3
+
+
+def test_responses_by_position(spark):
+    from tremolo.operators.evaluate import align
+
+    tests = spark.createDataFrame([(30, "c"), (10, "a"), (20, "b"), (40, "d")], "run_id long, input string")
+    got = {r.run_id: r.raw_response for r in align(tests, ["ra", None, "rc"], "run_id").collect()}
+    assert got == {10: "ra", 20: None, 30: "rc", 40: None}
+
+
+@pytest.mark.parametrize("advisory", ["64k", "64m"])
+def test_ranks_are_whole(spark, advisory):
+    """Ranks are 0 to n - 1 in order, whatever the partitions; values repeat and some are null."""
+    from tremolo.operators.bins import ranked
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, advisory)
+    try:
+        rows = spark.range(300_000).select(F.col("id").alias("key"), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(5000))).alias("value"), F.repeat(F.lit("x"), 40).alias("more"))
+        got = ranked(rows, "value", "key").select("rank", "value", "key")
+        assert tuple(got.agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()) == (300_000, 300_000, 0, 299_999)
+        want = {k: i for i, (v, k) in enumerate(sorted(((-1 if r.value is None else r.value, r.key) for r in rows.select("value", "key").collect())))}
+        assert all(want[r.key] == r["rank"] for r in got.where("rank % 997 = 0").collect())
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_streaming_rollup(spark, tmp_path):
@@ -199,13 +261,13 @@ def test_streaming_rollup(spark, tmp_path):
     df = spark.createDataFrame(rows, "run_id long, ts string, category string, score double, sim double").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(str(tmp_path / "in"))
     stream = rollup.read_events(spark, str(tmp_path / "in"), "run_id long, ts timestamp, category string, score double, sim double")
-    q = rollup.append(rollup.windowed_stability(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q = rollup.append(rollup.windowed_steadiness(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    batch = {(r.start, r.n) for r in rollup.windowed_stability(df).collect()}
+    batch = {(r.start, r.n) for r in rollup.windowed_steadiness(df).collect()}
     got = {(r.start, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got <= batch and sum(n for _, n in batch) == 90
 
 
 def test_properties():
-    assert math.isclose(sum(scoring.BUSINESS_WEIGHTS["Stability"].values()), 1)
+    assert math.isclose(sum(scoring.BUSINESS_WEIGHTS["Steadiness"].values()), 1)
     assert all(lo < hi for own in L.TCR_BANDS.values() for lo, hi in own)

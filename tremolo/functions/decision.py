@@ -22,12 +22,15 @@ RULES = [
     r"guideline\s*\d*\s*[:.]",
     r"must\b.{3,50}?(?:and|or|if)",
 ]
-FACTORS = (
-    "age income score credit rating tenure rank grade level tier category type status priority weight cost budget limit threshold deadline "
-    "duration risk performance experience qualification seniority region department team role position salary revenue margin frequency "
-    "volume quantity capacity availability"
-).split()
-VARIABLES = FACTORS + "amount rate percentage ratio count size distance time date period range interval proportion share value metric index parameter factor criterion".split()
+FACTORS = [
+    "age", "income", "score", "credit", "rating", "tenure", "rank", "grade", "level", "tier", "category", "type", "status", "priority", "weight",
+    "cost", "budget", "limit", "threshold", "deadline", "duration", "risk", "performance", "experience", "qualification", "seniority", "region",
+    "department", "team", "role", "position", "salary", "revenue", "margin", "frequency", "volume", "quantity", "capacity", "availability",
+]
+VARIABLES = FACTORS + [
+    "amount", "rate", "percentage", "ratio", "count", "size", "distance", "time", "date", "period", "range", "interval", "proportion", "share",
+    "value", "metric", "index", "parameter", "factor", "criterion",
+]
 EXCEPTIONS = ["except", "unless", "however", "but if", "provided that", "in the case", "special case", "exception", "override", "waiver", "exempt", "not applicable", "regardless", "notwithstanding", "subject to", "only if", "unless otherwise"]
 BRANCHES = ["if ", "else", "elif", "otherwise", "in that case", "when "]
 TRADEOFFS = ["tradeoff", "trade-off", "trade off", "balance", "weigh", "competing", "priority", "prioritize", "vs.", "versus", "on the other hand", "however,", "at the expense", "consider both", "optimize", "maximize", "minimize", "prefer", "preferred over", "more important than", "outweighs"]
@@ -84,7 +87,8 @@ def num_rules(x) -> Column:
 
 
 def _whole_words(x, what: list[str]) -> Column:
-    return let(_low(x), lambda t: _sum(F.rlike(t, F.lit(rf"(?U)\b{w}\b")).cast("int") for w in what).cast("long"))
+    # a word between two word bounds is a whole run of word characters, so one split finds them all
+    return F.size(F.array_intersect(F.split(_low(x), r"(?U)\W+"), F.array(*map(F.lit, what)))).cast("long")
 
 
 def num_factors(x) -> Column:

@@ -18,7 +18,7 @@ BEHAVIOURS = {
     "no_evidence": ["no evidence", "cannot cite", "no such study", "no such paper", "not aware of any", "cannot provide", "fabricat", "don.t have access", "no record", "cannot find a source", "no documented", "i cannot confirm", "cannot point to"],
 }
 #: Scores that a judge may give, by what is judged.
-JUDGE_SCALES = {"stability": [1.0, 0.75, 0.25, 0.0], "kb": [1.0, 0.75, 0.0]}
+JUDGE_SCALES = {"steadiness": [1.0, 0.75, 0.25, 0.0], "kb": [1.0, 0.75, 0.0]}
 
 
 def exact(pred: Column, truth: Column) -> Column:

@@ -1,7 +1,9 @@
 """Metrics of one text or of an original and its candidate, as Column expressions.
 
-All are built-in expressions, so they stay inside generated code; results are
-rounded to 4 places unless a count. Null texts count as empty.
+All are built-in expressions of the JVM. Those that name a value several times bind
+it with let(), a higher-order function, which Spark evaluates outside generated
+code; the others stay inside. Results are rounded to 4 places unless a count. Null
+texts count as empty.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?"
 NUMBER = r"-?\d{1,3}(?:,\d{3})*(?:\.\d+)?|-?\d+(?:\.\d+)?"
 MONEY_NUMBER = r"\$?\d+(?:[.,]\d+)*"
 BLOCK_MARK = r"^\s*(?:#{1,6}\s|[-*+]\s|\d+\.\s|>\s|\|)"
-UNIT_WORDS = (
-    "dollar dollars cent cents euro euros pound pounds percent percentage second seconds minute minutes hour hours day days week weeks "
-    "month months year years meter meters metre metres km kilometer kilometers mile miles foot feet inch inches kg kilogram kilograms "
-    "gram grams lb lbs ounce ounces liter liters litre litres ml gallon gallons item items unit units piece pieces bolt bolts basket baskets"
-).split()
+UNIT_WORDS = [
+    "dollar", "dollars", "cent", "cents", "euro", "euros", "pound", "pounds", "percent", "percentage", "second", "seconds", "minute", "minutes",
+    "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "km", "kilometer",
+    "kilometers", "mile", "miles", "foot", "feet", "inch", "inches", "kg", "kilogram", "kilograms", "gram", "grams", "lb", "lbs", "ounce", "ounces",
+    "liter", "liters", "litre", "litres", "ml", "gallon", "gallons", "item", "items", "unit", "units", "piece", "pieces", "bolt", "bolts", "basket",
+    "baskets",
+]
 GOALS = [
     ("find_percentage", r"\bwhat\s+percent|\bpercentage\b|\bhow\s+much\s+percent"),
     ("find_remaining", r"\bremaining\b|\bleft\b|\bleftover\b"),

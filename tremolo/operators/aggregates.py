@@ -1,4 +1,4 @@
-"""Accuracy, stability and failure entropy of runs, as mergeable aggregates.
+"""Accuracy, steadiness and failure entropy of runs, as mergeable aggregates.
 
 Every measure is a ratio of sums over one pass, so partial aggregation applies
 before the shuffle and any number of groupings come from one scan.
@@ -26,7 +26,7 @@ def accuracy(sim: str = "sim", cutoff: float = CUTOFF, missing: str = "incorrect
     return F.avg(hit.cast("double"))
 
 
-def stability(sim: str = "sim", score: str = "score") -> Column:
+def steadiness(sim: str = "sim", score: str = "score") -> Column:
     """Mean sim weighted by magnitude over rows that have both; the plain mean if no weight is left."""
     both = F.col(sim).isNotNull() & F.col(score).isNotNull()
     top = F.sum(F.when(both, F.col(sim) * F.col(score)))
@@ -35,7 +35,7 @@ def stability(sim: str = "sim", score: str = "score") -> Column:
 
 
 def p_score(sim: str = "sim", score: str = "score", stress: Column | None = None) -> Column:
-    """Stability over rows of a positive magnitude (and under stress); the plain mean of all rows if there are none."""
+    """Steadiness over rows of a positive magnitude (and under stress); the plain mean of all rows if there are none."""
     own = (F.col(score) > 0) & F.col(sim).isNotNull()
     own = own & stress if stress is not None else own
     return r4(F.coalesce(F.try_divide(F.sum(F.when(own, F.col(sim) * F.col(score))), F.sum(F.when(own, F.col(score)))), F.avg(sim)))
@@ -112,15 +112,15 @@ def collapse_point(tau: Column) -> Column:
     return F.coalesce(*(F.when(F.col(v) < tau, v) for v in LEVELS))
 
 
-def stability_curve(runs: DataFrame, *by: str) -> DataFrame:
-    """Stability of each group and level; at L0 the mean sim of the baseline."""
-    stress = _keyed(runs.where("level <> 'L0'"), (*by, "level")).groupBy(*by, "level").agg(r4(stability()).alias("stability"))
-    base = _keyed(runs.where("level = 'L0'"), by).groupBy(*by, "level").agg(r4(F.avg("sim")).alias("stability"))
+def steadiness_curve(runs: DataFrame, *by: str) -> DataFrame:
+    """Steadiness of each group and level; at L0 the mean sim of the baseline."""
+    stress = _keyed(runs.where("level <> 'L0'"), (*by, "level")).groupBy(*by, "level").agg(r4(steadiness()).alias("steadiness"))
+    base = _keyed(runs.where("level = 'L0'"), by).groupBy(*by, "level").agg(r4(F.avg("sim")).alias("steadiness"))
     return base.unionByName(stress)
 
 
 def cross_model(runs: DataFrame, models: list[str]) -> DataFrame:
-    """Stability of each category and model, with a row of baselines; three places."""
+    """Steadiness of each category and model, with a row of baselines; three places."""
     of = lambda m, x: F.round(x, 3).alias(m)
     only = lambda m: runs_if(F.col("model") == m)
 
@@ -140,7 +140,7 @@ def group_summary(runs: DataFrame, *by: str) -> DataFrame:
     return _keyed(runs, by).groupBy(*by).agg(
         F.count("*").alias("n"),
         r4(F.avg("score")).alias("mean_score"),
-        r4(F.avg("sim")).alias("mean_stability"),
+        r4(F.avg("sim")).alias("mean_steadiness"),
         r4(F.avg(F.col("score") * (1 - F.col("sim")))).alias("mean_risk"),
         p_score().alias("p_score"),
     )
@@ -150,9 +150,9 @@ def summaries(runs: DataFrame) -> DataFrame:
     """group_summary() by level, category and dimension and over all, from one scan."""
     keys = ["level", "category", "dimension"]
     sets = runs.groupingSets([*([F.col(k)] for k in keys), []], *(F.col(k) for k in keys))
-    out = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), r4(F.avg("score")).alias("mean_score"), r4(F.avg("sim")).alias("mean_stability"), p_score(stress=F.lit(True)).alias("p_score"))
+    out = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), r4(F.avg("score")).alias("mean_score"), r4(F.avg("sim")).alias("mean_steadiness"), p_score(stress=F.lit(True)).alias("p_score"))
     scheme = F.when(F.col("g") == 3, "level").when(F.col("g") == 5, "category").when(F.col("g") == 6, "dimension").otherwise("all")
-    return out.select(scheme.alias("scheme"), F.coalesce("level", "category", "dimension", F.lit("all")).alias("name"), "n", "mean_score", "mean_stability", "p_score")
+    return out.select(scheme.alias("scheme"), F.coalesce("level", "category", "dimension", F.lit("all")).alias("name"), "n", "mean_score", "mean_steadiness", "p_score")
 
 
 def p_scores(runs: DataFrame, *by: str) -> DataFrame:

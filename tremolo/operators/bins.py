@@ -1,24 +1,36 @@
 """Equal-count bins by magnitude.
 
-A global rank needs no single task: rows are range-partitioned and sorted, counts
-of the partitions give each one its first rank, and the rank within a partition
-is added. Ties are broken by an id.
+A global rank needs no single task: rows are range-partitioned once and written
+with the number of their partition to the shared folder; counts of the
+partitions give each one its first rank, and the rank within a partition is
+added. Both read what was written, so a partition is the same rows in either,
+however often its ranges would be sampled or coalesced anew. Ties are broken by
+an id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import r4
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder of the cluster; in a session without one (tests), in the warehouse."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/work"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ranked(df: DataFrame, value: str, key: str, name: str = "rank") -> DataFrame:
     """df with the place of each row by (value, key), from 0."""
-    dealt = df.repartitionByRange(value, key)
-    part = dealt.withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(value, key)
-    rows = part.withColumn("_at", F.row_number().over(within) - 1)
+    spark, path = df.sparkSession, work_folder(df.sparkSession, "ranked")
+    dealt = df.repartitionByRange(value, key).withColumn("_part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    part = spark.read.schema(dealt.schema).parquet(path)
+    rows = part.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(value, key)) - 1)
     sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
     # a row for each partition
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -102,19 +102,45 @@ def run_plan(seeds: DataFrame, tests: DataFrame, rounds: int = 3) -> DataFrame:
     return base.unionByName(tests.where("gate").select("source_row", "category", "level", F.col("c").alias("input"), F.lit(1).alias("round")))
 
 
-def ask(plan: DataFrame, system: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Responses of a system under test, asked in batches: adds raw_response, run_status, latency_ms."""
+def attempt(call: Callable[[], object], tries: int = 6, pause: float = 2.0, most: float = 60.0) -> tuple[object, str, int, int]:
+    """Result, status ("ok" or "error: ..."), milliseconds and tries of a call; pauses between tries double up to `most` seconds."""
+    import time
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+    began = time.time()
+    for n in range(1, tries + 1):
+        try:
+            return call(), "ok", int(1000 * (time.time() - began)), n
+        except Exception as e:
+            status = f"error: {e}"
+            if n < tries:
+                time.sleep(min(most, pause * 2 ** (n - 1)))
+    return None, status, int(1000 * (time.time() - began)), tries
+
+
+def each_call(df: DataFrame, call: Callable[[dict], object], names: tuple[str, ...], **how) -> DataFrame:
+    """df with a call's reply for each row: text, status, milliseconds and tries, under the given names. A row that fails costs no other row."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            began = time.time()
-            try:
-                out, status = system(b["input"]), "ok"
-            except Exception as e:
-                out, status = pd.Series([None] * len(b), index=b.index), f"error: {e}"
-            yield b.assign(raw_response=out, run_status=status, latency_ms=int(1000 * (time.time() - began) / max(1, len(b))))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema)
-    return plan.mapInPandas(run, f"{fields}, raw_response string, run_status string, latency_ms long")
+            got = [attempt(lambda row=row: call(row), **how) for row in b.to_dict("records")]
+            yield b.assign(**{n: pd.Series([g[i] for g in got], index=b.index, dtype=object if i < 2 else "int64") for i, n in enumerate(names)})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInPandas(run, f"{fields}, {names[0]} string, {names[1]} string, {names[2]} long, {names[3]} long")
+
+
+def ask(plan: DataFrame, system: Callable[[str], str], **how) -> DataFrame:
+    """Responses of a system under test to each row's input: adds raw_response, run_status, latency_ms, tries. how: tries, pause, most."""
+    return each_call(plan, lambda row: system(row["input"]), ("raw_response", "run_status", "latency_ms", "tries"), **how)
+
+
+def align(tests: DataFrame, responses: list[str | None] | DataFrame, order: str) -> DataFrame:
+    """Tests with raw_response by position: the n-th response (of a list, or by column `at` from 0) is the n-th test's in the given order.
+
+    Tests beyond the last response have none; responses beyond the last test are left out.
+    """
+    from .bins import ranked
+
+    if not isinstance(responses, DataFrame):
+        responses = tests.sparkSession.createDataFrame(list(enumerate(responses)), "at long, raw_response string")
+    return ranked(tests, order, order, "at").join(responses.select("at", "raw_response"), "at", "left").drop("at")

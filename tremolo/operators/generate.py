@@ -1,18 +1,18 @@
 """Candidate frames for text generation: what to ask a generator, and how its replies become attempts.
 
-The generator itself is a plug-in that is asked in batches; everything around it is declared.
+The generator itself is a plug-in that is asked row by row, with retries; everything around it is declared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import temperature
 from ..functions.text import goal_type, numbers, units
+from .evaluate import each_call, parse_verdict
 
 
 def core(text) -> Column:
@@ -49,28 +49,17 @@ def candidates(seeds: DataFrame, specs: DataFrame, attempts: int = 2) -> DataFra
     return rows.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts)))).withColumn("temperature", temperature(F.col("base"), F.col("attempt"))).drop("base")
 
 
-def generated(plan: DataFrame, generator: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """The plan with a column c of generated texts; a batch that fails has none, and its status tells why."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            try:
-                out, status = generator(b), "ok"
-            except Exception as e:
-                out, status = pd.Series([None] * len(b), index=b.index), f"error: {e}"
-            yield b.assign(c=out, status=status)
-
+def generated(plan: DataFrame, generator: Callable[[dict], str], **how) -> DataFrame:
+    """The plan with a generated text c for each row, its status, milliseconds and tries. how: tries, pause, most of evaluate.attempt()."""
     flat = plan.withColumn("core", F.to_json("core")) if "core" in plan.columns else plan
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema)
-    return flat.mapInPandas(run, f"{fields}, c string, status string")
-
+    return each_call(flat, generator, ("c", "status", "latency_ms", "tries"), **how)
 
-def judged(pairs: DataFrame, judge: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
-    """Pairs with a judge's raw replies, asked in batches; parse them with evaluate.parse_verdict()."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(verdict=judge(b["o"], b["c"]))
+def judged(pairs: DataFrame, judge: Callable[[str, str], str], model: str = "", **how) -> DataFrame:
+    """Pairs (o, c) with a judge's record: same_meaning, confidence, explanation, model, latency_ms, tries, error, and the raw verdict.
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInPandas(run, f"{fields}, verdict string")
+    A call that fails in all its tries has no verdict: same_meaning is null and error tells why.
+    """
+    asked = each_call(pairs, lambda row: judge(row["o"], row["c"]), ("verdict", "_status", "latency_ms", "tries"), **how)
+    ok, parsed = F.col("_status") == "ok", parse_verdict(F.col("verdict"))
+    return asked.select(*pairs.columns, "verdict", *(F.when(ok, parsed[f]).alias(f) for f in ("same_meaning", "confidence", "explanation")), F.lit(model).alias("model"), "latency_ms", "tries", F.when(~ok, F.col("_status")).alias("error"))

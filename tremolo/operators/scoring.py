@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import r4
 
 #: Default weights of the families of each category, blend and guard.
-BUSINESS_WEIGHTS = {"Stability": {"paraphrase": 0.20, "noise": 0.10, "format": 0.10, "distraction": 0.20, "conflict": 0.25, "context": 0.15}}
+BUSINESS_WEIGHTS = {"Steadiness": {"paraphrase": 0.20, "noise": 0.10, "format": 0.10, "distraction": 0.20, "conflict": 0.25, "context": 0.15}}
 ALPHA, EPSILON = 0.6, 1e-6
 
 

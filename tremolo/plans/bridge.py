@@ -1,4 +1,4 @@
-"""Reference-shaped input frames made of the driver's tables.
+"""Seeds, tests, runs and evaluations made of the driver's tables.
 
 Each frame is one SELECT that Spark and DuckDB both understand, so queries and
 their oracles see the same rows.

@@ -96,10 +96,10 @@ def behaviour(spark, sf_dir):
     return E.evaluate_kb(rows).select("conv_id", "turn", "sim_outputs")
 
 
-@query("sim13_snap", "SELECT event_id, CASE WHEN x >= 0.875::DOUBLE THEN 1 WHEN x >= 0.5::DOUBLE THEN 0.75 WHEN x >= 0.125::DOUBLE THEN 0.25 ELSE 0 END::DOUBLE AS stability, CASE WHEN x >= 0.875::DOUBLE THEN 1 WHEN x >= 0.375::DOUBLE THEN 0.75 ELSE 0 END::DOUBLE AS kb FROM (SELECT event_id, CAST(props->>'$.k' AS DOUBLE) / 100 AS x FROM events)")
+@query("sim13_snap", "SELECT event_id, CASE WHEN x >= 0.875::DOUBLE THEN 1 WHEN x >= 0.5::DOUBLE THEN 0.75 WHEN x >= 0.125::DOUBLE THEN 0.25 ELSE 0 END::DOUBLE AS steadiness, CASE WHEN x >= 0.875::DOUBLE THEN 1 WHEN x >= 0.375::DOUBLE THEN 0.75 ELSE 0 END::DOUBLE AS kb FROM (SELECT event_id, CAST(props->>'$.k' AS DOUBLE) / 100 AS x FROM events)")
 def snap(spark, sf_dir):
     x = F.get_json_object("props", "$.k").cast("double") / 100
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", M.snap(x, "stability").alias("stability"), M.snap(x, "kb").alias("kb"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", M.snap(x, "steadiness").alias("steadiness"), M.snap(x, "kb").alias("kb"))
 
 
 @query("sim09_route", f"{P} SELECT source_row, CASE source_row % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.25 ELSE (CASE WHEN pred_lang IS NULL THEN 0 WHEN lower(trim(pred_lang)) = lower(trim(gt_lang)) THEN 1 ELSE 0 END) END::DOUBLE AS sim FROM p")

@@ -60,24 +60,24 @@ def magnitude(spark, sf_dir):
     return admitted(spark, sf_dir).groupBy("category", "level").agg(A.r4(F.avg("score")).alias("magnitude"))
 
 
-@query("agg03_stability", f"{R} SELECT model, category, round({STAB}, 4) AS stability FROM ok WHERE level <> 'L0' GROUP BY ALL")
-def stability(spark, sf_dir):
-    return admitted(spark, sf_dir).where("level <> 'L0'").groupBy("model", "category").agg(A.r4(A.stability()).alias("stability"))
+@query("agg03_steadiness", f"{R} SELECT model, category, round({STAB}, 4) AS steadiness FROM ok WHERE level <> 'L0' GROUP BY ALL")
+def steadiness(spark, sf_dir):
+    return admitted(spark, sf_dir).where("level <> 'L0'").groupBy("model", "category").agg(A.r4(A.steadiness()).alias("steadiness"))
 
 
-@query("agg04_stability_curve", f"{R} SELECT model, level, round(CASE WHEN level = 'L0' THEN avg(sim) ELSE {STAB} END, 4) AS stability FROM ok GROUP BY model, level")
-def stability_curve(spark, sf_dir):
-    return A.stability_curve(admitted(spark, sf_dir), "model")
+@query("agg04_steadiness_curve", f"{R} SELECT model, level, round(CASE WHEN level = 'L0' THEN avg(sim) ELSE {STAB} END, 4) AS steadiness FROM ok GROUP BY model, level")
+def steadiness_curve(spark, sf_dir):
+    return A.steadiness_curve(admitted(spark, sf_dir), "model")
 
 
-@query("agg05_overall_stability", f"{R} SELECT round({STAB}, 4) AS stability FROM ok WHERE level <> 'L0'")
-def overall_stability(spark, sf_dir):
-    return admitted(spark, sf_dir).where("level <> 'L0'").agg(A.r4(A.stability()).alias("stability"))
+@query("agg05_overall_steadiness", f"{R} SELECT round({STAB}, 4) AS steadiness FROM ok WHERE level <> 'L0'")
+def overall_steadiness(spark, sf_dir):
+    return admitted(spark, sf_dir).where("level <> 'L0'").agg(A.r4(A.steadiness()).alias("steadiness"))
 
 
-@query("agg06_family_level_stability", f"{R} SELECT category, level, round(CASE WHEN level = 'L0' THEN avg(sim) ELSE {STAB} END, 4) AS stability FROM ok GROUP BY category, level")
+@query("agg06_family_level_steadiness", f"{R} SELECT category, level, round(CASE WHEN level = 'L0' THEN avg(sim) ELSE {STAB} END, 4) AS steadiness FROM ok GROUP BY category, level")
 def family_level(spark, sf_dir):
-    return A.stability_curve(admitted(spark, sf_dir), "category")
+    return A.steadiness_curve(admitted(spark, sf_dir), "category")
 
 
 def _cross() -> str:
@@ -92,7 +92,7 @@ def cross_model(spark, sf_dir):
     return A.cross_model(admitted(spark, sf_dir), MODELS)
 
 
-SUMMARY = f"count(*) AS n, round(avg(score), 4) AS mean_score, round(avg(sim), 4) AS mean_stability, round(avg(score * (1 - sim)), 4) AS mean_risk, round({PS}, 4) AS p_score"
+SUMMARY = f"count(*) AS n, round(avg(score), 4) AS mean_score, round(avg(sim), 4) AS mean_steadiness, round(avg(score * (1 - sim)), 4) AS mean_risk, round({PS}, 4) AS p_score"
 
 
 @query("agg10_group_summary", f"{R} SELECT category, dimension, {SUMMARY} FROM ok GROUP BY ALL")
@@ -103,7 +103,7 @@ def group_summary(spark, sf_dir):
 @query(
     "agg10_summaries_grouping_sets",
     f"""{R} SELECT CASE grouping(level, category, dimension) WHEN 3 THEN 'level' WHEN 5 THEN 'category' WHEN 6 THEN 'dimension' ELSE 'all' END AS scheme,
-    coalesce(level, category, dimension, 'all') AS name, count(*) AS n, round(avg(score), 4) AS mean_score, round(avg(sim), 4) AS mean_stability, round({PS}, 4) AS p_score
+    coalesce(level, category, dimension, 'all') AS name, count(*) AS n, round(avg(score), 4) AS mean_score, round(avg(sim), 4) AS mean_steadiness, round({PS}, 4) AS p_score
     FROM ok GROUP BY GROUPING SETS ((level), (category), (dimension), ())""",
 )
 def summaries(spark, sf_dir):
@@ -285,7 +285,7 @@ def records(spark, sf_dir):
 #: Families of the scorer from brands of models; one family has no entropy.
 FAMILIES = {"m0": "paraphrase", "m1": "noise", "m2": "format", "m3": "distraction"}
 _FAMILY = "CASE model " + " ".join(f"WHEN '{m}' THEN '{f}'" for m, f in FAMILIES.items()) + " END"
-_BUSINESS = ", ".join(f"('{f}', {w}::DOUBLE)" for f, w in scoring.BUSINESS_WEIGHTS["Stability"].items())
+_BUSINESS = ", ".join(f"('{f}', {w}::DOUBLE)" for f, w in scoring.BUSINESS_WEIGHTS["Steadiness"].items())
 SCORER = f"""{R}, {FWE.format(by='model')}, p AS (SELECT model, {_FAMILY} AS family, round({PX}, 4) AS p_score FROM runs GROUP BY model),
 f AS (SELECT family, p_score, CASE WHEN family = 'format' THEN greatest(0, 1 - p_score) ELSE fwe END AS fwe FROM p JOIN fwe ON model = g), b(family, w) AS (VALUES {_BUSINESS}),
 w AS (SELECT f.*, w AS w_business, fwe / sum(fwe) OVER () AS w_fwe, 0.6::DOUBLE * w + 0.4::DOUBLE * (fwe / sum(fwe) OVER ()) AS x FROM f JOIN b USING (family)),
@@ -294,11 +294,11 @@ z AS (SELECT *, x / sum(x) OVER () AS w_final FROM w)"""
 
 def _families(spark, sf_dir):
     name = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))[F.col("model")]
-    rows = A.group_scores(bridge(spark, sf_dir), "model").select(F.lit("Stability").alias("category"), name.alias("family"), "p_score", "fwe")
+    rows = A.group_scores(bridge(spark, sf_dir), "model").select(F.lit("Steadiness").alias("category"), name.alias("family"), "p_score", "fwe")
     return rows.withColumn("fwe", F.when(F.col("family") != "format", F.col("fwe")))
 
 
-@query("agg40_category_score", f"{SCORER} SELECT 'Stability' AS category, round(sum(w_final * p_score), 4) AS p_primary, round(1 / sum(w_final / (p_score + 1e-6::DOUBLE)), 4) AS p_harmonic FROM z")
+@query("agg40_category_score", f"{SCORER} SELECT 'Steadiness' AS category, round(sum(w_final * p_score), 4) AS p_primary, round(1 / sum(w_final / (p_score + 1e-6::DOUBLE)), 4) AS p_harmonic FROM z")
 def category_score(spark, sf_dir):
     return scoring.score(_families(spark, sf_dir), scoring.weight_table(spark)).select("category", "p_primary", "p_harmonic")
 

@@ -236,13 +236,13 @@ def levels(spark, sf_dir):
     return C.order_by_level(runs(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n")))
 
 
-@query("stream_events", f"WITH e AS ({EVENTS}) SELECT date_trunc('day', ts) AS start, category, count(*) AS n, round(sum(s * score) / nullif(sum(score), 0), 4) AS stability FROM (SELECT *, CAST(props->>'$.k' AS DOUBLE) / 100 AS s FROM e) GROUP BY ALL")
+@query("stream_events", f"WITH e AS ({EVENTS}) SELECT date_trunc('day', ts) AS start, category, count(*) AS n, round(sum(s * score) / nullif(sum(score), 0), 4) AS steadiness FROM (SELECT *, CAST(props->>'$.k' AS DOUBLE) / 100 AS s FROM e) GROUP BY ALL")
 def stream_form(spark, sf_dir):
     """The streaming rollup run over the whole table as a batch."""
-    from ..streaming.rollup import windowed_stability
+    from ..streaming.rollup import windowed_steadiness
 
     rows = event_runs(spark, sf_dir).select(F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "category", "score", (F.get_json_object("props", "$.k").cast("double") / 100).alias("sim"))
-    return windowed_stability(rows)
+    return windowed_steadiness(rows)
 
 
 @query("agg22_event_latency", f"WITH e AS ({EVENTS}) SELECT category, count(*) AS n, round(avg(score), 4) AS mean_score, round(quantile_cont(score, 0.95), 4) AS p95 FROM e GROUP BY category")

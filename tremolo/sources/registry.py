@@ -69,7 +69,7 @@ def test_specs(spark: SparkSession) -> DataFrame:
     for category, family in FAMILY_TAGS.items():
         for i in range(5):
             lo, hi = TCR_BANDS[family][i] if TCR_BANDS[family] else (None, None)
-            rows.append((category, family, "Integrity" if family in INTEGRITY else "Stability", f"L{i + 1}", i + 1, PHASES[i], lo, hi, *WEIGHTS[family], TEMPERATURES[family][i], SENTENCE_DELTAS[i] if family == "SV" else None, RULES[family]))
+            rows.append((category, family, "Integrity" if family in INTEGRITY else "Steadiness", f"L{i + 1}", i + 1, PHASES[i], lo, hi, *WEIGHTS[family], TEMPERATURES[family][i], SENTENCE_DELTAS[i] if family == "SV" else None, RULES[family]))
     return spark.createDataFrame(rows, "category string, family string, dimension string, level string, level_no int, phase string, tcr_lo double, tcr_hi double, w_sim double, w_tcr double, temperature double, max_sentence_delta int, rules array<string>")
 
 
