@@ -245,7 +245,7 @@ def classes(docs: DataFrame) -> DataFrame:
     centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1")
     full = written(keys.drop("n_shingles").join(centres, "key"), "buckets")
     pairs = written(full.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    ids = written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "ids")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = written(candidate_sets(docs, ids), "sets")
     links = written(verified(pairs, sets), "links", rows=50)
     so_far = components(links, "stars")
