@@ -8,6 +8,7 @@ has them.
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -30,8 +31,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-#: Folders that work_dir() has named, in order.
-_work: list[str] = []
+class _Work(threading.local):
+    """Folders that work_dir() has named in this thread, in order; jobs of other threads have lists of their own."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_work = _Work()
 
 
 def work_dir(spark: SparkSession, name: str, listed: bool = True) -> str:
@@ -39,7 +46,7 @@ def work_dir(spark: SparkSession, name: str, listed: bool = True) -> str:
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/work"
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if listed:  # for release()
-        _work.append(path)
+        _work.folders.append(path)
     return path
 
 
@@ -207,7 +214,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    return len(_work)
+    return len(_work.folders)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -217,5 +224,5 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 def release(spark: SparkSession, start: int, stop: int) -> None:
     """Deletes the folders named between two marks, once nothing reads them any more."""
-    for p in _work[start:stop]:
+    for p in _work.folders[start:stop]:
         remove(spark, p)
