@@ -1,25 +1,47 @@
-"""The training-data pipeline: five stages over `documents`, each on all that its predecessor kept."""
+"""The training-data pipeline: five stages over `documents`, each on all that its predecessor kept.
+
+What every stage makes of odd input:
+
+* null and empty texts count as empty: they score as texts without words, are
+  exact copies of each other, near copies and carriers of nothing, and are packed
+  as an end id each;
+* a null doc_id is kept as it is; of exact copies it counts as the smallest;
+* repeated rows are exact copies, so one of them is left after that stage;
+* very long texts are judged, compared and packed whole;
+* of ties in a group the largest doc_id (exact) or the smallest (near) stays;
+* an empty table gives an empty result; without labels of both classes toxicity
+  keeps all rows, without benchmark items decontamination does;
+* further columns, whatever their names, are kept as they are until packing.
+"""
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tremolo.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
 from tremolo.llm.common import mark, release, remove, table, work_dir
 
-#: Where the work folders of the running stage begin. A stage is given documents that have been written, so what earlier stages left can go.
-_begun = [0]
+
+class _Begun(threading.local):
+    """Where the work folders of this thread's running stage begin. A stage is given documents that have been written, so what earlier stages left can go."""
+
+    at = 0
+
+
+_begun = _Begun()
 
 
 def _clear(spark: SparkSession) -> None:
     now = mark()
-    release(spark, _begun[0], now)
-    _begun[0] = now
+    release(spark, _begun.at, now)
+    _begun.at = now
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score 0.5 or more for toxicity."""
-    _begun[0] = mark()
+    _begun.at = mark()
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
