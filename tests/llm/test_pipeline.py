@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from data import frame
 from test_operators import brute_classes, low, token_ids
 
 from tremolo.llm import toxicity
@@ -37,3 +38,25 @@ def test_stages_keep_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_on_odd_documents(spark):
+    """Nulls, empty, repeated and very long texts, clashing columns; and no rows at all."""
+    odd = frame(spark)
+    names = odd.columns
+    docs, kept = odd, Counter((r.doc_id, r.text) for r in odd.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        now = Counter((r.doc_id, r.text) for r in docs.collect())
+        assert docs.columns == names and now <= kept, name
+        if name == "exact_dedup":
+            best = {}
+            for i, t in kept:
+                best[low(t)] = max(best.get(low(t), -1), -1 if i is None else i)
+            assert {low(t) for _, t in now} == set(best) and sum(now.values()) == len(best)
+            assert all((-1 if i is None else i) == best[low(t)] for i, t in now)
+        kept = now
+    pieces = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert sum(r.length for r in pieces) == sum(n * (len(token_ids(t)) + 1) for (_, t), n in kept.items())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
