@@ -50,7 +50,7 @@ def work_dir(spark: SparkSession, name: str, listed: bool = True) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int = BATCH_ROWS, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, fixes what each task made, survives lost executors.
 
     rows: of an Arrow batch meanwhile, so that batches of wide rows stay small.
@@ -58,7 +58,7 @@ def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     spark = df.sparkSession
     path, before = work_dir(spark, name), bounded_batches(spark, rows)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     return spark.read.schema(df.schema).parquet(path)

@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import blocks, written
 
-WINDOW, END_ID, BLOCK = 1024, 0, 32 << 20
+WINDOW, END_ID, BLOCK = 1024, 0, 8 << 20
 #: Blocks of an Arrow batch where ids travel.
-BATCH = 16
+BATCH = 4
 _coders: dict[str, object] = {}
 
 
@@ -192,5 +192,5 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
                 ids = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(z.decompress(b.column("ids")[i].as_py()))])
                 yield pa.RecordBatch.from_pydict({c: get(c) for c in ("doc_id", "start", "length", "doc_tokens")} | {"sequence_id": s[:, 3] + j // s[:, 4], "offset": s[:, 5] + j % s[:, 4] * length, "ids": ids})
 
-    placed = written(rows.mapInArrow(place, schema), "placed", rows=BATCH)
+    placed = written(rows.mapInArrow(place, schema), "placed", rows=BATCH, compression="zstd")
     return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
