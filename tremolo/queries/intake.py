@@ -11,7 +11,7 @@ from ..operators import generate as G
 from ..plans.bridge import TURNS, XFORM, turns, xform
 from ..sources import registry, tables
 from .registry import query
-from .texts import _numbers, _q
+from .texts import _goal_of, _numbers, _q, _sentences
 
 
 def _folder(spark) -> str:
@@ -58,7 +58,16 @@ def candidates(spark, sf_dir):
     return G.candidates(seeds, registry.test_specs(spark)).agg(F.count("*").alias("n"))
 
 
-@query("txt44_anchors")
+_NUMS, _UNITS = f"list_sort(list_distinct({_numbers('o')}))", f"list_sort(list_distinct(list_filter(regexp_extract_all(low, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: list_contains([{', '.join(_q(w) for w in T.UNIT_WORDS)}], w))))"
+
+
+@query(
+    "txt44_anchors",
+    f"""WITH p AS ({XFORM}), a AS (SELECT doc_id, coalesce(o, '') AS o, lower(coalesce(o, '')) AS low FROM p), b AS (SELECT *, {_sentences('trim(low)')} AS ss FROM a),
+    g AS (SELECT doc_id, {_NUMS} AS nums, {_UNITS} AS units, {_goal_of('low', 'coalesce(ss[len(ss)], low)')} AS goal FROM b)
+    SELECT doc_id, 'SEMANTIC ANCHORS (must be preserved exactly):' || chr(10) || CASE WHEN len(nums) > 0 THEN '- Numbers: ' || array_to_string(nums, ', ') || chr(10) ELSE '' END
+        || CASE WHEN len(units) > 0 THEN '- Units: ' || array_to_string(units, ', ') || chr(10) ELSE '' END || CASE WHEN goal <> 'find_unknown' THEN '- Goal: ' || goal || chr(10) ELSE '' END AS block FROM g""",
+)
 def anchors(spark, sf_dir):
     return xform(spark, sf_dir).select("doc_id", G.anchors(G.core("o")).alias("block"))
 

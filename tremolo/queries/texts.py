@@ -158,7 +158,11 @@ def units(spark, sf_dir):
     return xform(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(T.units("c")), ",").alias("units"))
 
 
-_GOAL = "CASE " + " ".join(f"WHEN regexp_matches(last, {_q(p)}) THEN '{g}'" for g, p in T.GOALS) + " " + " ".join(f"WHEN regexp_matches(low, {_q(p)}) THEN '{g}'" for g, p in T.GOALS) + " ELSE 'find_unknown' END"
+def _goal_of(low: str, last: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {_q(p)}) THEN '{g}'" for x in (last, low) for g, p in T.GOALS) + " ELSE 'find_unknown' END"
+
+
+_GOAL = _goal_of("low", "last")
 
 
 @query("txt43_goal_type", f"WITH p AS ({TURNS}), a AS (SELECT conv_id, turn, lower(coalesce(c, '')) AS low FROM p), b AS (SELECT *, {_sentences('trim(low)')} AS ss FROM a), d AS (SELECT *, coalesce(ss[len(ss)], low) AS last FROM b) SELECT conv_id, turn, {_GOAL} AS goal FROM d")
@@ -226,7 +230,11 @@ def definition(spark, sf_dir):
     return xform(spark, sf_dir).select("doc_id", *(v.alias(k) for k, v in own.items()), D.definition_score("c", places=6).alias("score"))
 
 
-@query("top01_top_features")
+_CONTRIBUTIONS = ", ".join(f"{{'c': -round(({D.WEIGHTS[k]}::DOUBLE * {_normal(k)})::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE, 'i': {i}, 'f': '{k}'}}" for i, k in enumerate(D.BOUNDS))
+
+
+@query("top01_top_features", f"""WITH p AS ({XFORM}), m AS (SELECT doc_id, {", ".join(f"({FEATURES[k]})::DOUBLE AS {k}" for k in D.BOUNDS)} FROM p)
+    SELECT doc_id, array_to_string(list_transform(list_sort([{_CONTRIBUTIONS}])[1:3], lambda x: x.f), ',') AS top_features FROM m""")
 def top_features(spark, sf_dir):
     """SORT-03, TOP-01: the three features that weigh most in each text, in order."""
     return xform(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.slice(D.ranked_features("c"), 1, 3), lambda x: x["feature"]), ",").alias("top_features"))
@@ -318,17 +326,36 @@ for _g, (_fn, _src, _k, _checks) in _GATES.items():
         return rows.select(*key.split(", "), "g.passed", "g.reason")
 
 
-@query("gat05_conflict_gate")
+def _with_goals(source: str, key: str) -> str:
+    """prepared() with CTE g: goal types og and cg of both sides."""
+    low = f"a AS (SELECT *, lower(o) AS olow, lower(c) AS clow FROM t), b AS (SELECT *, {_sentences('trim(olow)')} AS oss, {_sentences('trim(clow)')} AS css FROM a)"
+    return f"{prepared(source, key)}, {low}, g AS (SELECT *, {_goal_of('olow', 'coalesce(oss[len(oss)], olow)')} AS og, {_goal_of('clow', 'coalesce(css[len(css)], clow)')} AS cg FROM b)"
+
+
+def _gate_sql(ctes: str, last: str, key: str, checks: list[tuple[str, str]]) -> str:
+    own = [("oq <> ''", "original is empty"), ("cq <> ''", "candidate is empty"), *checks]
+    return f"{ctes}, r AS (SELECT {key}, {_verdict(own)} AS reason FROM {last}) SELECT {key}, reason = '' AS passed, reason FROM r"
+
+
+def _lexical(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, {_q(T.WORD + '|' + T.NUMBER)}), lambda n: CASE WHEN regexp_matches(n, '^-?[0-9]') THEN replace(n, ',', '') ELSE n END)"
+
+
+_KEPT = (f"{_excess('onum', 'cnum')} = 0", "numbers lost")
+_SAME_GOAL = ("og = 'find_unknown' OR cg = og", "goal changed")
+
+
+@query("gat05_conflict_gate", _gate_sql(prepared(TURNS, "conv_id, turn"), "t", "conv_id, turn", [_KEPT, (f"{_excess(_lexical('o'), _lexical('c'))} = 0", "tokens lost"), (f"({SQL['cc']}) >= 1", "no conflict added")]))
 def conflict_gate(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", G.conflict_gate("o", "c").alias("g")).select("conv_id", "turn", "g.passed", "g.reason")
 
 
-@query("gat02_paraphrase_gate")
+@query("gat02_paraphrase_gate", _gate_sql(_with_goals(TURNS, "conv_id, turn"), "g", "conv_id, turn", [(_BAG.format(a="onum", b="cnum"), "numbers changed"), ("len(cw) <= 1.3::DOUBLE * len(ow)", "too long"), ("abs(len(cs) - len(os)) <= 1", "sentence count changed"), _SAME_GOAL]))
 def paraphrase_gate(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", G.paraphrase_gate("o", "c").alias("g")).select("conv_id", "turn", "g.passed", "g.reason")
 
 
-@query("gat03_distractor_gate")
+@query("gat03_distractor_gate", _gate_sql(_with_goals(XFORM, "doc_id"), "g", "doc_id", [_KEPT, _SAME_GOAL, ("len(cs) > len(os)", "no sentence added")]))
 def distractor_gate(spark, sf_dir):
     return xform(spark, sf_dir).select("doc_id", G.distractor_gate("o", "c").alias("g")).select("doc_id", "g.passed", "g.reason")
 
@@ -360,7 +387,15 @@ def decision_gate(spark, sf_dir):
     return xform(spark, sf_dir).select("doc_id", G.decision_gate("c")["reason"].alias("reason"))
 
 
-@query("gat10_decision_level_gate")
+_STRUCT = f"round((0.25::DOUBLE * least(1, ({DCM['num_rules']}) / 8::DOUBLE) + 0.25::DOUBLE * least(1, ({DCM['num_factors']}) / 6::DOUBLE) + 0.2::DOUBLE * least(1, ({DCM['num_exceptions']}) / 4::DOUBLE) + 0.2::DOUBLE * least(1, ({DCM['branch_depth']}) / 4::DOUBLE) + 0.1::DOUBLE * ({_TRADE})::INT)::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE"
+
+
+@query(
+    "gat10_decision_level_gate",
+    f"""WITH p AS ({XFORM}), m AS (SELECT doc_id, {_STRUCT} AS struct_score, {", ".join(f"({FEATURES[k]})::DOUBLE AS {k}" for k in D.BOUNDS)} FROM p),
+    d AS (SELECT doc_id, struct_score, round((({" + ".join(f"{D.WEIGHTS[k]}::DOUBLE * {_normal(k)}" for k in D.BOUNDS)}) / {sum(D.WEIGHTS.values())!r}::DOUBLE)::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE AS score FROM m)
+    SELECT doc_id, struct_score >= 0 AND struct_score < 0.16::DOUBLE AS structure, score >= 0 AND score < 0.16::DOUBLE AS definition FROM d""",
+)
 def decision_level_gate(spark, sf_dir):
     """GAT-10, GAT-11."""
     return xform(spark, sf_dir).select("doc_id", G.decision_level_gate("c", F.lit("L1"))["passed"].alias("structure"), G.definition_level_gate("c", F.lit("L1"))["passed"].alias("definition"))
