@@ -64,6 +64,12 @@ def r4(x: Column) -> Column:
     return F.round(x, 4)
 
 
+def mean4(x: Column | str) -> Column:
+    """Mean of a group to 4 places, summed as decimals so that the order of the rows cannot tip a last place."""
+    x = F.col(x) if isinstance(x, str) else x
+    return r4(F.try_divide(F.sum(x.cast("decimal(28,12)")).cast("double"), F.count(x)))
+
+
 def share(part: Column, whole: Column, empty: float) -> Column:
     """part / whole, `empty` where whole is 0."""
     return F.when(whole == 0, F.lit(empty)).otherwise(F.try_divide(part.cast("double"), whole.cast("double")))

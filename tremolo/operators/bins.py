@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import r4
+from ..functions.text import mean4
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -47,7 +47,7 @@ def magnitude_bins(runs: DataFrame, n_bins: int = 12, key: str = "run_id") -> Da
     size = own.agg(F.greatest(F.lit(1), F.floor(F.count("*") / n_bins)).cast("long").alias("size"))
     # the size is one row
     rows = ranked(own.select(key, "score", "sim"), "score", key).join(F.broadcast(size))
-    cells = rows.groupBy(F.floor(F.col("rank") / F.col("size")).cast("long").alias("bin"), "size").agg(F.count("*").alias("n"), r4(F.avg("score")).alias("mean_score"), r4(F.avg("sim")).alias("mean_sim"))
+    cells = rows.groupBy(F.floor(F.col("rank") / F.col("size")).cast("long").alias("bin"), "size").agg(F.count("*").alias("n"), mean4("score").alias("mean_score"), mean4("sim").alias("mean_sim"))
     return cells.where(F.col("n") >= F.floor(F.col("size") / 3)).select("bin", "n", "mean_score", "mean_sim")
 
 
@@ -55,4 +55,4 @@ def fixed_bins(runs: DataFrame, size: int, *by: str, key: str = "run_id") -> Dat
     """Means in bins of `size` rows of one ranking over all rows; by: groups within the bins."""
     cell: Column = F.floor(F.col("rank") / max(1, size)).cast("long").alias("bin")
     rows = ranked(_valid(runs).select(key, "score", "sim", *by), "score", key)
-    return rows.groupBy(cell, *by).agg(F.count("*").alias("n"), r4(F.avg("score")).alias("mean_score"), r4(F.avg("sim")).alias("mean_sim"))
+    return rows.groupBy(cell, *by).agg(F.count("*").alias("n"), mean4("score").alias("mean_score"), mean4("sim").alias("mean_sim"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import match as M
 from ..functions.difflib_udf import difflib, similarity
-from ..functions.text import cosine, r4
+from ..functions.text import cosine, mean4, r4
 from ..sources.registry import kb_levels
 from ..sources.tables import Intake, OutputDef
 from .joins import with_criteria, with_intake
@@ -93,7 +93,7 @@ def parse_verdict(raw: Column) -> Column:
 
 def claims_verdict(claims: DataFrame, *by: str) -> DataFrame:
     """Mean entailment and largest contradiction of the claims of a text."""
-    return claims.groupBy(*by).agg(r4(F.coalesce(F.avg("entailment"), F.lit(1.0))).alias("entailment"), r4(F.coalesce(F.max("contradiction"), F.lit(0.0))).alias("contradiction"))
+    return claims.groupBy(*by).agg(F.coalesce(mean4("entailment"), F.lit(1.0)).alias("entailment"), r4(F.coalesce(F.max("contradiction"), F.lit(0.0))).alias("contradiction"))
 
 
 def run_plan(seeds: DataFrame, tests: DataFrame, rounds: int = 3) -> DataFrame:

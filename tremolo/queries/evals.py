@@ -102,25 +102,34 @@ def snap(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", M.snap(x, "steadiness").alias("steadiness"), M.snap(x, "kb").alias("kb"))
 
 
-@query("sim09_route", f"{P} SELECT source_row, CASE source_row % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.25 ELSE (CASE WHEN pred_lang IS NULL THEN 0 WHEN lower(trim(pred_lang)) = lower(trim(gt_lang)) THEN 1 ELSE 0 END) END::DOUBLE AS sim FROM p")
+@query("sim09_route", f"{P} SELECT source_row, CASE source_row % 3 WHEN 0 THEN (source_row % 7) / 7::DOUBLE WHEN 1 THEN (CASE WHEN source_row % 2 = 0 THEN 0.25 ELSE 0 END) ELSE (CASE WHEN pred_lang IS NULL THEN 0 WHEN lower(trim(pred_lang)) = lower(trim(gt_lang)) THEN 1 ELSE 0 END) END::DOUBLE AS sim FROM p")
 def route(spark, sf_dir):
     """SIM-09, SIM-12, JOIN-04: rows by category."""
     category = F.get(F.array(F.lit("Knowledge Boundary"), F.lit("Decision Complexity"), F.lit("Input Quality")), (F.col("source_row") % 3).cast("int"))
-    return preds(spark, sf_dir).select("source_row", E.route(category, M.exact(F.col("pred_lang"), F.col("gt_lang")), F.lit(1.0), E.decision_fallback(F.lit("We approve it"))).alias("sim"))
+    said = F.concat(F.when(F.col("source_row") % 2 == 0, "We Approve of ").otherwise("Disapproval of "), F.coalesce("pred_lang", F.lit("it")))
+    return preds(spark, sf_dir).select("source_row", E.route(category, M.exact(F.col("pred_lang"), F.col("gt_lang")), (F.col("source_row") % 7) / 7, E.decision_fallback(said)).alias("sim"))
 
 
-@query("jdg02_parse_verdict", "SELECT event_id, (CAST(props->>'$.k' AS INT) >= 50) AS same_meaning, round(CAST(props->>'$.k' AS DOUBLE) / 100, 2) AS confidence FROM events")
+@query(
+    "jdg02_parse_verdict",
+    """WITH e AS (SELECT event_id, event_id % 6 AS kind, CAST(props->>'$.k' AS INT) AS k, event_type AS said FROM events)
+    SELECT event_id, CASE WHEN kind < 3 THEN k >= 50 ELSE kind = 3 END AS same_meaning, CASE WHEN kind < 2 THEN round(k / 100::DOUBLE, 2) ELSE 0.5 END::DOUBLE AS confidence,
+        CASE kind WHEN 0 THEN 'x' WHEN 1 THEN 'x' WHEN 2 THEN '{"same_meaning": ' || (k >= 50) || '}' WHEN 3 THEN 'Yes, ' || said || ' it is' WHEN 4 THEN 'No, that is not true: ' || said ELSE '' END AS explanation FROM e""",
+)
 def parse_verdict(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    raw = F.concat(F.when(F.col("event_id") % 2 == 0, "Verdict: ").otherwise(""), F.lit('{"same_meaning": '), F.when(k.cast("int") >= 50, "true").otherwise("false"), F.lit(', "confidence": '), (k.cast("double") / 100).cast("string"), F.lit(', "explanation": "x"}'))
+    """JSON whole, inside a text, and without its other fields; keywords for yes and no; nothing at all."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 6
+    same = F.concat(F.lit('{"same_meaning": '), F.when(k.cast("int") >= 50, "true").otherwise("false"))
+    whole = F.concat(same, F.lit(', "confidence": '), (k.cast("double") / 100).cast("string"), F.lit(', "explanation": "x"}'))
+    raw = F.when(kind == 0, whole).when(kind == 1, F.concat(F.lit("Verdict: "), whole, F.lit(" (end)"))).when(kind == 2, F.concat(same, F.lit("}"))).when(kind == 3, F.concat(F.lit("Yes, "), "event_type", F.lit(" it is"))).when(kind == 4, F.concat(F.lit("No, that is not true: "), "event_type"))
     v = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", E.parse_verdict(raw).alias("v"))
-    return v.select("event_id", "v.same_meaning", F.round("v.confidence", 2).alias("confidence"))
+    return v.select("event_id", "v.same_meaning", F.round("v.confidence", 2).alias("confidence"), "v.explanation")
 
 
-@query("jdg04_claims", "SELECT user_id, round(avg(value / 1000), 4) AS entailment, round(max(value / 1000), 4) AS contradiction FROM events GROUP BY user_id")
+@query("jdg04_claims", "SELECT user_id, coalesce(round((sum(CASE WHEN event_id % 5 > 0 THEN value / 1000 END::DECIMAL(28, 12))::DOUBLE / count(CASE WHEN event_id % 5 > 0 THEN value END))::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE, 1) AS entailment, coalesce(round(max(CASE WHEN event_id % 3 > 0 THEN (500 - value) / 1000 END), 4), 0) AS contradiction FROM events GROUP BY user_id")
 def claims(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", (F.col("value") / 1000).alias("entailment"), (F.col("value") / 1000).alias("contradiction"))
-    return E.claims_verdict(rows, "user_id")
+    entailment, contradiction = F.when(F.col("event_id") % 5 > 0, F.col("value") / 1000), F.when(F.col("event_id") % 3 > 0, (500 - F.col("value")) / 1000)
+    return E.claims_verdict(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", entailment.alias("entailment"), contradiction.alias("contradiction")), "user_id")
 
 
 _NUMBER = "regexp_matches(replace(trim(pred_chars), ',', ''), '^[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?$')"
@@ -129,10 +138,14 @@ _NUMBER = "regexp_matches(replace(trim(pred_chars), ',', ''), '^[+-]?(?:\\d+\\.?
 @query(
     "exe04_exec_score",
     f"""{P}, e AS (SELECT source_row, CASE WHEN regexp_replace(coalesce(pred_lang, ''), '\\s+', '', 'g') <> '' THEN 1 ELSE 0 END::DOUBLE AS completion,
-        ({_NUMBER})::INT::DOUBLE AS compliant, round(((pred_lang IS NOT NULL)::INT + 1) / 2::DOUBLE, 4) AS completeness FROM p)
+        CASE source_row % 5 WHEN 0 THEN coalesce(({_NUMBER})::INT, 0) WHEN 1 THEN (length(trim(coalesce(pred_chars, ''))) > 2)::INT WHEN 2 THEN (trim(coalesce(pred_chars, '')) <> '')::INT ELSE 0 END::DOUBLE AS compliant,
+        round(((pred_lang IS NOT NULL)::INT + 1) / 2::DOUBLE, 4) AS completeness FROM p)
     SELECT *, round((0.3::DOUBLE * completion + 0.35::DOUBLE * compliant + 0.35::DOUBLE * completeness) / (0.3::DOUBLE + 0.35::DOUBLE + 0.35::DOUBLE), 4) AS score FROM e""",
 )
 def execution(spark, sf_dir):
-    """EXE-01 to EXE-04."""
-    rows = preds(spark, sf_dir).select("source_row", D.completion("pred_lang").alias("completion"), D.schema_compliance("pred_chars", F.lit("numeric")).alias("compliant"), D.completeness(F.col("pred_lang").isNotNull().cast("int") + 1, F.lit(2)).alias("completeness"))
+    """EXE-01 to EXE-04: numbers, texts, labels, refusals and blanks."""
+    of = lambda *values: F.get(F.array(*values), (F.col("source_row") % 5).cast("int"))
+    own, kind = F.col("pred_chars"), of(*map(F.lit, ("numeric", "Short_Text", "categorical", "text", "categorical")))
+    pred = of(own, own, own, F.lit("I'm sorry, but I cannot tell"), F.lit("  "))
+    rows = preds(spark, sf_dir).select("source_row", D.completion("pred_lang").alias("completion"), D.schema_compliance(pred, kind).alias("compliant"), D.completeness(F.col("pred_lang").isNotNull().cast("int") + 1, F.lit(2)).alias("completeness"))
     return rows.select("*", D.exec_score(F.col("completion"), F.col("compliant"), F.col("completeness")).alias("score"))

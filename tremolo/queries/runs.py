@@ -374,18 +374,18 @@ RANKED = f"{R}, v AS (SELECT * FROM ok WHERE score IS NOT NULL AND sim IS NOT NU
 @query(
     "win02_magnitude_bins",
     f"""{RANKED}, s AS (SELECT *, row_number() OVER (ORDER BY score, run_id) - 1 AS r FROM v WHERE level <> 'L0'), z AS (SELECT greatest(1, count(*) // 12) AS size FROM s)
-    SELECT r // size AS bin, count(*) AS n, round(avg(score), 4) AS mean_score, round(avg(sim), 4) AS mean_sim FROM s, z GROUP BY r // size, size HAVING count(*) >= size // 3""",
+    SELECT r // size AS bin, count(*) AS n, round((sum(score::DECIMAL(28, 12))::DOUBLE / count(score))::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE AS mean_score, round((sum(sim::DECIMAL(28, 12))::DOUBLE / count(sim))::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE AS mean_sim FROM s, z GROUP BY r // size, size HAVING count(*) >= size // 3""",
 )
 def magnitude_bins(spark, sf_dir):
     return bins.magnitude_bins(bridge(spark, sf_dir))
 
 
-@query("win03_fixed_bins", f"{RANKED} SELECT r // 500 AS bin, count(*) AS n, round(avg(score), 4) AS mean_score, round(avg(sim), 4) AS mean_sim FROM (SELECT *, row_number() OVER (ORDER BY score, run_id) - 1 AS r FROM v) GROUP BY ALL")
+@query("win03_fixed_bins", f"{RANKED} SELECT r // 500 AS bin, count(*) AS n, round((sum(score::DECIMAL(28, 12))::DOUBLE / count(score))::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE AS mean_score, round((sum(sim::DECIMAL(28, 12))::DOUBLE / count(sim))::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE AS mean_sim FROM (SELECT *, row_number() OVER (ORDER BY score, run_id) - 1 AS r FROM v) GROUP BY ALL")
 def fixed_bins(spark, sf_dir):
     return bins.fixed_bins(bridge(spark, sf_dir), 500)
 
 
-@query("win04_category_bins", f"{RANKED} SELECT r // 500 AS bin, category, count(*) AS n, round(avg(score), 4) AS mean_score, round(avg(sim), 4) AS mean_sim FROM (SELECT *, row_number() OVER (ORDER BY score, run_id) - 1 AS r FROM v) GROUP BY ALL")
+@query("win04_category_bins", f"{RANKED} SELECT r // 500 AS bin, category, count(*) AS n, round((sum(score::DECIMAL(28, 12))::DOUBLE / count(score))::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE AS mean_score, round((sum(sim::DECIMAL(28, 12))::DOUBLE / count(sim))::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE AS mean_sim FROM (SELECT *, row_number() OVER (ORDER BY score, run_id) - 1 AS r FROM v) GROUP BY ALL")
 def category_bins(spark, sf_dir):
     return bins.fixed_bins(bridge(spark, sf_dir), 500, "category")
 

@@ -193,9 +193,9 @@ def inject(spark, sf_dir):
     return J.inject(rows.where("level = 'L0'"), rows.where("level <> 'L0'"), "category").groupBy("category", "level").agg(F.count("*").alias("n"))
 
 
-@query("join10_undone", "SELECT c_custkey AS source_row FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("join10_undone", "SELECT c_custkey AS source_row FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 11 = 0)")
 def undone(spark, sf_dir):
-    return C.undone(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_row")), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_row")))
+    return C.undone(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_row")), _table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("source_row")))
 
 
 @query("join12_row_order", "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents), b AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS r FROM benchmark) SELECT doc_id, b.text AS source_text FROM d LEFT JOIN b USING (r)")
@@ -250,11 +250,11 @@ def event_latency(spark, sf_dir):
     return event_runs(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.percentile("score", F.lit(0.95)), 4).alias("p95"))
 
 
-@query("run01_plan", f"WITH p AS ({TURNS}) SELECT level, round, count(*) AS n FROM (SELECT 'L0' AS level, unnest([1, 2, 3]) AS round FROM p UNION ALL SELECT 'L1', 1 FROM p WHERE conv_id % 2 = 0) GROUP BY ALL")
+@query("run01_plan", f"WITH p AS ({TURNS}) SELECT conv_id AS source_row, 'Temporal Consistency' AS category, 'L0' AS level, o AS input, unnest([1, 2, 3]) AS round FROM p UNION ALL SELECT conv_id, 'Input Quality', 'L1', c, 1 FROM p WHERE conv_id % 2 = 0")
 def plan(spark, sf_dir):
     from ..operators.evaluate import run_plan
 
     rows = turns(spark, sf_dir)
     seeds = rows.select(F.col("conv_id").alias("source_row"), F.col("o").alias("question"))
     tests = rows.select(F.col("conv_id").alias("source_row"), F.lit("Input Quality").alias("category"), F.lit("L1").alias("level"), "c", (F.col("conv_id") % 2 == 0).alias("gate"))
-    return run_plan(seeds, tests).groupBy("level", "round").agg(F.count("*").alias("n"))
+    return run_plan(seeds, tests)
