@@ -21,7 +21,6 @@ other columns are untouched.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import WordHash, blocks, mix, raw, spread, trim, written
 from .elias_fano import EliasFano
 
-#: Words of a window; bytes of text of a block; bytes of text for each shard.
-WINDOW, BLOCK, SHARD = 35, 4 << 20, 16 << 20
+#: Words of a window; bytes of text of a block, for each shard, and for each partition in which blocks meet their answers.
+WINDOW, BLOCK, SHARD, MEET = 35, 4 << 20, 16 << 20, 64 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _WRAP = 1 << 64
 
@@ -47,9 +46,11 @@ def stored(docs: DataFrame) -> DataFrame:
         for b in (x for y in batches for x in blocks([y], most=BLOCK)):
             texts = raw(b.column("text"))
             sizes = list(map(len, texts))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary()), pa.array([sum(sizes)], pa.int64())], names=["block", "doc_ids", "lengths", "body", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary()), pa.array([sum(sizes)], pa.int64())], names=["doc_ids", "lengths", "body", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block string, doc_ids array<long>, lengths array<long>, body binary, size long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    packed = rows.mapInArrow(run, "doc_ids array<long>, lengths array<long>, body binary, size long")
+    return packed.select(F.monotonically_increasing_id().alias("block"), "*")  # fixed once it is written
 
 
 def _texts(body: bytes, lengths: list[int]) -> list[bytes]:
@@ -104,9 +105,9 @@ def repeated(table: DataFrame, window: int, shards: int) -> DataFrame:
             for block, lengths, body in zip(*(b.column(c).to_pylist() for c in ("block", "lengths", "body"))):
                 trim()
                 x = _Block(_texts(body, lengths), memo, window, shards)
-                full = [s for s in range(shards) if x.cuts[s] < x.cuts[s + 1]]
-                if full:
-                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full)), pa.array([EliasFano.encode(x.hashes[x.cuts[s] : x.cuts[s + 1]]).tobytes() for s in full], pa.binary())], names=["shard", "block", "hashes"])
+                full = np.flatnonzero(np.diff(x.cuts))
+                if len(full):
+                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([EliasFano.encode(x.hashes[x.cuts[s] : x.cuts[s + 1]]).tobytes() for s in full], pa.binary())], names=["shard", "block", "hashes"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(shard, held):
@@ -119,7 +120,7 @@ def repeated(table: DataFrame, window: int, shards: int) -> DataFrame:
                 for (block, _), own in zip(held, each):
                     hit = again[np.minimum(np.searchsorted(again, own), len(again) - 1)] == own
                     if hit.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([np.packbits(hit).tobytes()], pa.binary())], names=["block", "shard", "flags"])
+                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([np.packbits(hit).tobytes()], pa.binary())], names=["block", "shard", "flags"])
 
         shard, held = None, []
         for b in batches:
@@ -130,9 +131,9 @@ def repeated(table: DataFrame, window: int, shards: int) -> DataFrame:
                 held.append((block, h))
         yield from flush(shard, held)
 
-    sent = table.select("block", "lengths", "body").mapInArrow(send, "shard int, block string, hashes binary")
+    sent = table.select("block", "lengths", "body").mapInArrow(send, "shard int, block long, hashes binary")
     dealt = sent.repartition(spread(table, 2 * shards), "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(count, "block string, shard int, flags binary")
+    return dealt.mapInArrow(count, "block long, shard int, flags binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -140,8 +141,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     table = written(stored(docs), "texts")
     size = table.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    heard = repeated(table, window, shards).groupBy("block").agg(F.collect_list(F.struct("shard", "flags")).alias("heard"))
-    rows = table.join(heard, "block", "left").select("doc_ids", "lengths", "body", "heard.shard", "heard.flags")
+    meet = spread(table, -(-size // MEET))  # tasks do not grow with the corpus
+    heard = repeated(table, window, shards).repartition(meet, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "flags")).alias("heard"))
+    rows = table.repartition(meet, "block").join(heard, "block", "left").select("doc_ids", "lengths", "body", "heard.shard", "heard.flags")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
