@@ -53,6 +53,8 @@ from .elias_fano import EliasFano
 
 #: Length of n-grams; bytes of text of a block; training and other tokens for each shard; one in so many documents is held out.
 ORDER, BLOCK, SHARD, HELD = 3, 4 << 20, 2_000_000, 10
+#: Shards' worth of tokens for each partition in which blocks meet their answers.
+MEET = 4
 #: What is taken from each count of an n-gram.
 DISCOUNT = 0.75
 #: Codes of probabilities: steps of log10, as 16 bits; the last code is 0.
@@ -398,8 +400,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     masses = _masses(heard)
     distinct = heard.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bottom = train + 0.1 * (distinct + 1)
-    own = heard.where("level > 0").groupBy("block").agg(F.collect_list(F.struct("level", "shard", "probs", "weights")).alias("heard"))
-    rows = table.join(own, "block").select("doc_ids", "held", "lengths", "ids", "words", "heard.level", "heard.shard", "heard.probs", "heard.weights")
+    meet = spread(table, -(-shards // MEET))  # tasks do not grow with the corpus
+    own = heard.where("level > 0").repartition(meet, "block").groupBy("block").agg(F.collect_list(F.struct("level", "shard", "probs", "weights")).alias("heard"))
+    rows = table.repartition(meet, "block").join(own, "block").select("doc_ids", "held", "lengths", "ids", "words", "heard.level", "heard.shard", "heard.probs", "heard.weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
