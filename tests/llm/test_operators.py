@@ -148,6 +148,7 @@ def brute_removed(rows, n):
 def test_substring_dedup(spark, docs, monkeypatch, block, shard):
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
+    monkeypatch.setattr(substring_dedup, "MEET", 1 << 16)  # more partitions than the session's
     for df in both(spark, docs):
         got = Counter(tuple(r) for r in substring_dedup.digest(substring_dedup.remove_repeats(df)).collect())
         assert got == brute_removed(pairs_of(df), substring_dedup.WINDOW)
