@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, filter_audit, lexical_search, license_scan, lm_scoring, near_dedup, packing, substring_dedup, token_counts, toxicity, url_filters
+from . import decontamination, exact_dedup, filter_audit, html_extraction, lexical_search, license_scan, lm_scoring, near_dedup, packing, substring_dedup, token_counts, toxicity, url_filters
 from .common import lower_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"), html_extraction.fit())
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(lexical_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_substring_dedup,
         op10_near_dedup,
+        op11_html_extraction,
         op12_lexical_search,
         op13_filter_audit,
     )
