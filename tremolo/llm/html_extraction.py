@@ -36,7 +36,7 @@ from .common import blocks
 from .page_layouts import labelled
 
 #: Labelled pages and blocks of a page that are trained on at most; steps, step size and ridge of the training; how often a feature must occur in it; remembered attribute strings.
-MAX_TRAIN, MAX_BLOCKS, STEPS, RATE, RIDGE, LEAST, MEMO = 400, 2000, 100, 0.15, 1.0, 3, 20_000
+MAX_TRAIN, MAX_BLOCKS, STEPS, RATE, RIDGE, LEAST, MEMO = 600, 2000, 120, 0.2, 0.2, 3, 20_000
 
 #: Elements that begin and end a block; those that are empty; those whose content is raw text; those whose text is never shown.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td template tfoot th thead title tr ul svg math noscript object select button label".split())
@@ -197,6 +197,9 @@ def leaf_blocks(page: str, memo: dict[str, tuple] | None = None, known=None) ->
         numbers += 1
         own = {"in:" + tag, *_attribute_words(page[start:stop], memo)} if stop > start else {"in:" + tag}
         place = stack[-1].place
+        if open_tags["article"] and tag in ("article", "header", "footer"):  # a comment, or the article's own head
+            own.discard("in:" + tag)
+            own.add(f"in:{tag} in article")
         if known is not None:
             own = {f for f in own if f in known}
         stack.append(_Element(tag, place | own if not own <= place else place, numbers))

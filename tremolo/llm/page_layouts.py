@@ -88,7 +88,7 @@ class _Page:
             inner = f"<label>{self.words(1)}</label><input name=q><p>{self.prose(1)}</p><button>{rng.choice(_LABELS)}</button>"
         elif kind == "comments":
             one = lambda: f"<{e}{self.attributes('comments')}><div>{self.words(2)}</div><p>{self.text(self.prose(rng.randint(1, 5)))}</p></{e}>"
-            e = rng.choice(("li", "div", "article"))
+            e = rng.choice(("li", "div", "div", "article") if self.named else ("li", "div"))
             inner = f"<h2>{say()}</h2>" + "".join(one() for _ in range(rng.randint(1, 6)))
         else:
             e = rng.choice(("p", "div", "span"))
@@ -103,11 +103,13 @@ class _Page:
 
     def article(self) -> str:
         rng, out = self.rng, []
-        if rng.random() < 0.85:
+        if rng.random() < 0.75:
             out.append(self.block(rng.choice(("h1", "h1", "h2")), self.words(rng.randint(2, 10)).capitalize()))
         if rng.random() < 0.3:
             out.append(self.region("share"))
-        for _ in range(rng.choice((1, 2, 4, 8, 14, 25))):
+        if self.semantic and rng.random() < 0.3:
+            out = [f"<header{self.attributes('header') if rng.random() < 0.3 else ''}>{''.join(out)}</header>"]
+        for _ in range(rng.choice((1, 1, 2, 4, 8, 14, 25))):
             roll = rng.random()
             if roll < 0.78:
                 out.append(self.block("p", self.prose(rng.choice((1, 1, 2, 4, 8)))))
@@ -121,6 +123,10 @@ class _Page:
             else:
                 out.append(self.region(rng.choice(("advert", "sidebar", "notice", "form"))))
         inner = "".join(out)
+        if self.semantic and rng.random() < 0.3:
+            inner = f"<section>{inner}</section>"
+        if self.semantic and rng.random() < 0.15:
+            inner += f"<footer>{self.words(rng.randint(1, 5))}</footer>"
         if rng.random() < 0.25:  # comments inside the article's element
             inner += self.region("comments")
         if self.semantic and rng.random() < 0.8:
@@ -130,13 +136,18 @@ class _Page:
     def html(self) -> str:
         rng = self.rng
         some = lambda kinds, share: "".join(self.region(k) for k in kinds if rng.random() < share)
-        before, after = some(("notice", "header", "menu", "form", "advert"), 0.5), ["sidebar", "comments", "share", "notice", "advert", "footer"]
+        if rng.random() < 0.08:  # text without any element
+            text = self.prose(rng.randint(1, 12))
+            self.main.append(text)
+            return f"<html><body>{self.text(text)}</body></html>" if rng.random() < 0.5 else self.text(text)
+        few = rng.random() < 0.15
+        before, after = "" if few else some(("notice", "header", "menu", "form", "advert"), 0.5), ["sidebar", "comments", "share", "notice", "advert", "footer"]
         if rng.random() < 0.3:
             before += self.region("sidebar")
         body = self.article()
         if rng.random() < 0.3:
             body = f"<main>{body}</main>" if self.semantic else f"<div{self.attributes('article')}>{body}</div>"
-        rest = some(after, 0.5)
+        rest = some(["footer"], 0.5) if few else some(after, 0.5)
         if rng.random() < 0.1:
             inner = f"<table><tr><td>{before}</td><td>{body}</td></tr></table>{rest}"
         else:
