@@ -1,53 +1,64 @@
-"""Matching-block similarity of two texts (longest common blocks, recursively), which no built-in expression has.
+"""Matching-block similarity of two texts, which no built-in expression has: see matching_blocks for how it is found.
 
-One Arrow call per pair gives all that the metrics need: the ratio with the
-heuristic for popular characters, the edit count without it, and whether the
-edits leave letters and digits alone. The worst case is quadratic in a text's
-length, so equal pairs and pairs that share an end are settled first.
+Two measures, each an Arrow call over batches of pairs: the ratio of the
+lower-cased texts with the heuristic for popular characters; and without it the
+edit count, and whether the edits leave letters and digits alone. Equal pairs are
+settled without a search, pairs that repeat within an Arrow batch are searched
+once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-SCHEMA = StructType([StructField("ratio", DoubleType()), StructField("edits", LongType()), StructField("unchanged", BooleanType())])
+from . import matching_blocks
 
 
-def compare(o: str, c: str) -> tuple[float, int, bool]:
-    """(ratio of the lower-cased texts, edited characters, no letter or digit edited)."""
-    low_o, low_c = o.lower(), c.lower()
-    ratio = 1.0 if low_o == low_c else SequenceMatcher(None, low_o, low_c).ratio()
-    if o == c:
-        return ratio, 0, True
-    edits, unchanged = 0, True
-    for tag, i, j, k, m in SequenceMatcher(None, o, c, autojunk=False).get_opcodes():
-        if tag != "equal":
-            edits += max(j - i, m - k)
-            unchanged = unchanged and not any(x.isalpha() or x.isdigit() for x in o[i:j] + c[k:m])
-    return ratio, edits, unchanged
+def searched(pairs: list[tuple[str, str]], of_equal, measure: Callable[[list], list]) -> list:
+    """measure() of every pair; of_equal for pairs of equal texts."""
+    known = {p: of_equal for p in pairs if p[0] == p[1]}
+    fresh = list(dict.fromkeys(p for p in pairs if p[0] != p[1]))
+    for lo, hi in matching_blocks.batches(fresh):
+        known.update(zip(fresh[lo:hi], measure(fresh[lo:hi])))
+    return [known[p] for p in pairs]
 
 
-@F.pandas_udf(SCHEMA)
-def _difflib(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def _ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    return matching_blocks.ratios(pairs).tolist()
+
+
+def _edits(pairs: list[tuple[str, str]]) -> list[tuple[int, bool]]:
+    return list(zip(*(x.tolist() for x in matching_blocks.edits(pairs))))
+
+
+@F.pandas_udf(DoubleType())
+def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The ratio of the lower-cased texts."""
     for o, c in pairs:
-        known: dict[tuple[str, str], tuple] = {}
-        rows = []
-        for x in zip(o.fillna(""), c.fillna("")):
-            if x not in known:
-                known[x] = compare(*x)
-            rows.append(known[x])
-        yield pd.DataFrame(rows, columns=["ratio", "edits", "unchanged"])
+        yield pd.Series(searched(list(zip(o.fillna(""), c.fillna(""))), 1.0, _ratios), dtype="float64")
+
+
+@F.pandas_udf(StructType([StructField("edits", LongType()), StructField("unchanged", BooleanType())]))
+def edits(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """STRUCT<edits, unchanged>: edited characters, and that no letter or digit is edited."""
+    for o, c in pairs:
+        yield pd.DataFrame(searched(list(zip(o.fillna(""), c.fillna(""))), (0, True), _edits), columns=["edits", "unchanged"])
 
 
 def difflib(o, c) -> Column:
     """STRUCT<ratio, edits, unchanged>."""
-    return _difflib(o, c)
+    e = edits(o, c)
+    return F.struct(ratio(o, c).alias("ratio"), e["edits"].alias("edits"), e["unchanged"].alias("unchanged"))
+
+
+def dealt(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Pairs in all shuffle partitions: they take long for their bytes, by which partitions would be merged."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def similarity(d: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import match as M
-from ..functions.difflib_udf import difflib, similarity
+from ..functions.difflib_udf import ratio
 from ..functions.text import cosine, mean4, r4
 from ..sources.registry import kb_levels
 from ..sources.tables import Intake, OutputDef
@@ -31,7 +31,7 @@ def truth(d: OutputDef) -> Column:
 def text_similarity(pred: Column, gt: Column, vectors: tuple[Column, Column] | None = None) -> Column:
     """Of vectors if given, else of matching blocks; 0 if one is blank."""
     p, g = (F.trim(F.coalesce(x.cast("string"), F.lit(""))) for x in (pred, gt))
-    value = r4(cosine(*vectors)) if vectors else similarity(difflib(p, g))
+    value = r4(cosine(*vectors)) if vectors else r4(ratio(p, g))
     return F.when((p == "") | (g == ""), F.lit(0.0)).otherwise(value)
 
 

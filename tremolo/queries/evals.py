@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decision as D
 from ..functions import match as M
+from ..functions.difflib_udf import dealt
 from ..operators import evaluate as E
 from ..plans.bridge import PREDS, TURNS, preds, turns
 from ..sources.tables import Intake, OutputDef
@@ -40,7 +41,7 @@ def jaccard(spark, sf_dir):
 
 @query("sim04_text")
 def text(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", "turn", E.text_similarity(F.col("c"), F.col("o")).alias("sim"))
+    return dealt(turns(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", E.text_similarity(F.col("c"), F.col("o")).alias("sim"))
 
 
 _NUM = "TRY_CAST(nullif(translate(regexp_extract({x}, " + _q(M.FIRST_NUMBER) + "), '$, ', ''), '') AS DOUBLE)"

@@ -74,7 +74,7 @@ _PUNCT = "regexp_extract_all({x}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]')"
 SA = "least(1, greatest(0, (length(c) - length(replace(c, ' ', ''))) - (length(o) - length(replace(o, ' ', '')))) / greatest(length(o), 1)::DOUBLE)"
 PA = f"least(1, ({_excess(_PUNCT.format(x='o'), _PUNCT.format(x='c'))} + {_excess(_PUNCT.format(x='c'), _PUNCT.format(x='o'))}) / greatest(len({_PUNCT.format(x='o')}), 1)::DOUBLE)"
 LINES = "list_filter(string_split(c, chr(10)), lambda x: regexp_replace(x, '\\s+', '', 'g') <> '')"
-DEPTH = f"list_transform({LINES}, lambda x: (length(x) - length(regexp_replace(x, '^[ \\t]+', '')))::DOUBLE)"
+DEPTH = f"list_transform({LINES}, lambda x: (length(x) - length(regexp_replace(x, '^[ \\t]+', '')))::HUGEINT)"
 _MARK = T.BLOCK_MARK
 CES_TEXT = "' ' || lower(array_to_string(added, ' ')) || ' '"
 SQL = {
@@ -96,9 +96,9 @@ SQL = {
     "icv": "greatest(0, len(cw) - len(ow))",
     "len_ratio": "CASE WHEN length(o) = 0 THEN 0 ELSE round(length(c)::DOUBLE / length(o), 4) END",
     "adi": f"round(({CTX}) * ({CDP}), 4)",
-    "lcs": f"""round(0.4::DOUBLE * least(1, greatest(0, (length(c) - length(replace(c, chr(10), ''))) - (length(o) - length(replace(o, chr(10), '')))) / 20::DOUBLE)
-        + 0.3::DOUBLE * CASE WHEN len({LINES}) < 2 THEN 0 ELSE least(1, list_sum(list_transform({DEPTH}, lambda d: (d - list_avg({DEPTH})) * (d - list_avg({DEPTH})))) / len({LINES}) / 25) END
-        + 0.3::DOUBLE * CASE WHEN len({LINES}) = 0 THEN 0 ELSE len(list_filter({LINES}, lambda x: regexp_matches(x, {_q(_MARK)}) OR starts_with(trim(x), '---') OR starts_with(trim(x), '===')))::DOUBLE / len({LINES}) END, 4)""",
+    "lcs": f"""(200 * least(20, greatest(0, (length(c) - length(replace(c, chr(10), ''))) - (length(o) - length(replace(o, chr(10), '')))))
+        + CASE WHEN len({LINES}) = 0 THEN 0 ELSE (2 * (120 * CASE WHEN len({LINES}) < 2 THEN 0 ELSE least(25 * len({LINES})::HUGEINT * len({LINES}), len({LINES})::HUGEINT * list_sum(list_transform({DEPTH}, lambda d: d * d)) - list_sum({DEPTH})::HUGEINT * list_sum({DEPTH})) END
+            + 3000::HUGEINT * len({LINES}) * len(list_filter({LINES}, lambda x: regexp_matches(x, {_q(_MARK)}) OR starts_with(trim(x), '---') OR starts_with(trim(x), '===')))) + len({LINES})::HUGEINT * len({LINES})) // (2 * len({LINES})::HUGEINT * len({LINES})) END)::DOUBLE / 10000""",
 }
 IDS = {"jaccard_tcr": "txt03", "tps": "txt06", "ccr": "txt07", "lcs": "txt11", "dc": "txt14", "dnd": "txt15", "sli": "txt16", "ale": "txt17", "wcr": "txt20", "tis": "txt21", "sds": "txt24", "cc": "txt27", "ces": "txt28", "ihd": "txt29", "ctx_cer": "txt31", "cdp": "txt32", "icv": "txt33", "len_ratio": "txt34", "adi": "txt35"}
 #: Metrics that need lines, punctuation or additions are shown on perturbed documents, the others on turns.
@@ -173,7 +173,7 @@ def goal(spark, sf_dir):
 @query("txt19_difflib")
 def difflib(spark, sf_dir):
     """TXT-19, TXT-36 to TXT-38: edit rate, similarity, change rate and magnitude, one matcher call a pair."""
-    rows = turns(spark, sf_dir).select("conv_id", "turn", "o", "c", dl.difflib("o", "c").alias("d"))
+    rows = dl.dealt(turns(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "o", "c", dl.difflib("o", "c").alias("d"))
     sim, tcr = dl.similarity(F.col("d")), dl.change_rate(F.col("d"))
     return rows.select("conv_id", "turn", dl.edit_rate(F.col("d"), F.col("o")).alias("cer"), sim.alias("sim"), tcr.alias("tcr"), L.magnitude(sim, tcr, "SV").alias("magnitude"), L.tcr_level(tcr, "SV").alias("level"))
 
@@ -362,7 +362,7 @@ def distractor_gate(spark, sf_dir):
 
 @query("gat01_format_gate")
 def format_gate(spark, sf_dir):
-    rows = turns(spark, sf_dir).select("conv_id", "turn", "o", "c", dl.difflib("o", "c").alias("d"))
+    rows = dl.dealt(turns(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "o", "c", dl.edits("o", "c").alias("d"))
     return rows.select("conv_id", "turn", G.format_gate("o", "c", F.col("d")["unchanged"]).alias("g")).select("conv_id", "turn", "g.passed", "g.reason")
 
 
