@@ -69,10 +69,12 @@ def masks(rows: DataFrame, labels: DataFrame, copy_bit: int = 4) -> DataFrame:
     """part, mask, n, good, toxic: counts of failures() rows by mask, copies of a smaller doc_id's text with the copy bit."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("is_good"), (F.max("toxic") == 1).alias("is_toxic"))
     counted = rows.groupBy("doc_id", "part", "fails", "text_key").agg(F.count("*").alias("n"))
-    known = counted.where("doc_id IS NOT NULL").join(own, "doc_id", "left")
-    nameless = counted.where("doc_id IS NULL").select(F.lit(_NO_ID).alias("doc_id"), "part", "fails", "text_key", "n", F.lit(False).alias("is_good"), F.lit(False).alias("is_toxic"))
+    # rows without a doc_id are dealt by their texts and meet no label
+    key = F.coalesce(F.col("doc_id"), F.xxhash64("text_key"))
+    named = counted.withColumns({"label_id": key, "named": F.col("doc_id").isNotNull()})
+    own = own.select(F.col("doc_id").alias("label_id"), F.lit(True).alias("named"), "is_good", "is_toxic")
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("is_good", "is_toxic")]
-    both = known.unionByName(nameless).select("doc_id", "part", "fails", "text_key", "n", *flags)
+    both = named.join(own, ["label_id", "named"], "left").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "part", "fails", "text_key", "n", *flags)
     groups = both.groupBy("text_key", "part", "fails", "is_good", "is_toxic").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("least"))
     groups = groups.withColumn("first", F.min("least.doc_id").over(Window.partitionBy("text_key")))
     firsts = F.when(F.col("least.doc_id") == F.col("first"), F.col("least.n")).otherwise(F.lit(0))
