@@ -28,6 +28,20 @@ def csv(spark, sf_dir):
     return tables.read_csv(spark, path)
 
 
+@query(
+    "src01_csv_intake",
+    "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id::VARCHAR AS doc_id, nullif(text, '') AS text, lang FROM documents",
+)
+def csv_intake(spark, sf_dir):
+    """SRC-01: whole documents written as one CSV file of quoted texts with line breaks, read in splits and numbered."""
+    path = _folder(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    # one file, so that splits begin inside of texts
+    docs.orderBy("doc_id").coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    got = tables.load(spark, ["text"], ["lang"], path=path).df
+    return got.select("row_id", "doc_id", F.nullif("text", F.lit("")).alias("text"), "lang")
+
+
 @query("src03_rows", "SELECT * FROM (VALUES (0, 'a', 1), (1, 'b', 2)) v(row_id, question, answer)")
 def rows(spark, sf_dir):
     return tables.load(spark, ["question"], ["answer"], rows=[{"question": "a", "answer": 1}, {"question": "b", "answer": 2}]).df.select("row_id", "question", "answer")

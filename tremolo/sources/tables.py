@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.match import NULL_LIKE, detect_type
 from ..operators.curation import select_rows
 from ..operators.joins import numbered
+from . import csv_splits
 
 LINKING = ("row_order", "key_column", "multi_chunk")
 
@@ -41,10 +42,18 @@ class Intake:
     meta: dict = field(default_factory=dict)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with header, quoted line breaks and doubled quotes; bad bytes become replacement characters."""
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, row_id: str | None = None, whole_files: bool = False) -> DataFrame:
+    """CSV with header, quoted line breaks and doubled quotes; bad bytes become replacement characters.
+
+    Files are read in splits (see csv_splits), with the rows' numbers as row_id if it is named; whole_files
+    gives each file to one task, for many small ones.
+    """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    if whole_files:
+        return df
+    rows = csv_splits.read(spark, path, df.schema, row_id or "_row")
+    return rows if row_id else rows.drop("_row")
 
 
 def auto_groups(columns: list[str]) -> dict[str, list[str]]:
@@ -109,7 +118,7 @@ def load(
             raise ValueError("rows are empty")
         df = spark.createDataFrame([{"row_id": i, **r} for i, r in enumerate(rows)])
     elif path is not None:
-        df = numbered(read_csv(spark, path).withColumn("_at", F.monotonically_increasing_id()), "_at").drop("_at")
+        df = read_csv(spark, path, row_id="row_id")
     elif table is not None:
         df = table if "row_id" in table.columns else numbered(table, order or table.columns[0])
     else:
@@ -123,7 +132,7 @@ def load(
 
 def read_models(spark: SparkSession, runs_dir: str, dataset: str, order: list[str]) -> DataFrame:
     """All models' evaluations under `<runs_dir>/<model>__<dataset>/eval.csv`, with the model's name and place; names with `_` first are skipped."""
-    df = read_csv(spark, f"{runs_dir}/*__{dataset}/eval.csv")
+    df = read_csv(spark, f"{runs_dir}/*__{dataset}/eval.csv", whole_files=True)
     model = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)__{re.escape(dataset)}/eval\.csv(?:/|$)", 1)
     place = F.array_position(F.array(*(F.lit(m) for m in order)), model)
     return df.withColumn("model", model).where(~F.startswith("model", F.lit("_"))).withColumn("model_order", place)
