@@ -323,8 +323,11 @@ def goal_type(x) -> Column:
     def first(text: Column, last: Column) -> Column:
         out = F.lit("find_unknown")
         for where in (text, last):
+            found = out
             for name, pattern in reversed(GOALS):
-                out = F.when(F.rlike(where, F.lit(pattern)), F.lit(name)).otherwise(out)
+                found = F.when(F.rlike(where, F.lit(pattern)), F.lit(name)).otherwise(found)
+            # all patterns at once first: most texts have none
+            out = F.when(F.rlike(where, F.lit("|".join(p for _, p in GOALS))), found).otherwise(out)
         return out
 
     low = F.lower(_t(x))

@@ -28,7 +28,7 @@ def verdict(*checks: tuple[Column, str]) -> Column:
     reason = F.lit("")
     for ok, why in reversed(checks):
         reason = F.when(~F.coalesce(ok, F.lit(True)), why).otherwise(reason)
-    return F.struct((reason == "").alias("passed"), reason.alias("reason"))
+    return T.let(reason, lambda r: F.struct((r == "").alias("passed"), r.alias("reason")))
 
 
 def meaning(family: str, entailment: Column | None = None, contradiction: Column | None = None, judge: Column | None = None, least: float = 0.0, most: float = 1.0) -> list[tuple[Column, str]]:
@@ -44,7 +44,8 @@ def meaning(family: str, entailment: Column | None = None, contradiction: Column
 
 
 def _filled(o, c) -> list[tuple[Column, str]]:
-    return [(T.squeeze(o) != "", "original is empty"), (T.squeeze(c) != "", "candidate is empty")]
+    filled = lambda x: F.rlike(T._t(x), F.lit(r"(?U)\S"))
+    return [(filled(o), "original is empty"), (filled(c), "candidate is empty")]
 
 
 def _same_bag(a: Column, b: Column) -> Column:
@@ -56,6 +57,10 @@ def _within(a: Column, b: Column) -> Column:
     return T.excess(a, b) == 0
 
 
+def _goal_kept(o, c) -> Column:
+    return T.let(T.goal_type(o), lambda goal: (goal == "find_unknown") | (T.goal_type(c) == goal))
+
+
 def format_gate(o, c, unchanged: Column | None = None, **verdicts) -> Column:
     """Words, numbers and their order are kept. `unchanged`: that no letter or digit is in a difflib edit (see difflib_udf)."""
     checks = [*_filled(o, c), (T.lexical_tokens(o) == T.lexical_tokens(c), "tokens changed"), (_same_bag(T.numbers(o), T.numbers(c)), "numbers changed")]
@@ -70,7 +75,7 @@ def paraphrase_gate(o, c, most_added: int = 1, ratio: float = 1.3, **verdicts) -
         (_same_bag(T.numbers(o), T.numbers(c)), "numbers changed"),
         (T.word_count(c) <= ratio * T.word_count(o), "too long"),
         (F.abs(F.size(T.sentences(c)) - F.size(T.sentences(o))) <= most_added, "sentence count changed"),
-        (T.goal_type(o).isin("find_unknown") | (T.goal_type(c) == T.goal_type(o)), "goal changed"),
+        (_goal_kept(o, c), "goal changed"),
         *meaning("paraphrase", **verdicts),
     )
 
@@ -79,7 +84,7 @@ def distractor_gate(o, c, **verdicts) -> Column:
     return verdict(
         *_filled(o, c),
         (_within(T.numbers(o), T.numbers(c)), "numbers lost"),
-        (T.goal_type(o).isin("find_unknown") | (T.goal_type(c) == T.goal_type(o)), "goal changed"),
+        (_goal_kept(o, c), "goal changed"),
         (F.size(T.sentences(c)) > F.size(T.sentences(o)), "no sentence added"),
         *meaning("distractor", **verdicts),
     )
@@ -125,10 +130,13 @@ def decision_gate(c) -> Column:
 
 
 def _in_band(value: Column, level: Column) -> Column:
-    out = F.lit(False)
-    for i, (lo, hi) in enumerate(STRUCT_BANDS):
-        out = F.when(level == f"L{i + 1}", (value >= lo) & (value < hi)).otherwise(out)
-    return out
+    def within(x: Column) -> Column:
+        out = F.lit(False)
+        for i, (lo, hi) in enumerate(STRUCT_BANDS):
+            out = F.when(level == f"L{i + 1}", (x >= lo) & (x < hi)).otherwise(out)
+        return out
+
+    return T.let(value, within)
 
 
 def decision_level_gate(c, level: Column) -> Column:

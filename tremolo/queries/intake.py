@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import generate as G
-from ..plans.bridge import TURNS, XFORM, turns, xform
-from ..sources import registry, tables
+from ..plans.bridge import RUNS, TURNS, XFORM, turns, xform
+from ..plans.bridge import runs as all_runs
+from ..sources import registry, results, tables
 from .registry import query
 from .texts import _goal_of, _numbers, _q, _sentences
 
@@ -42,6 +43,23 @@ def csv_intake(spark, sf_dir):
     return got.select("row_id", "doc_id", F.nullif("text", F.lit("")).alias("text"), "lang")
 
 
+@query(
+    "snk02_results",
+    f"""WITH r AS ({RUNS}) SELECT model AS run, source_row, run_id, CASE WHEN source_row % 5 = 0 THEN latency_ms + 1 WHEN source_row % 3 = 0 THEN latency_ms + 2 ELSE latency_ms END AS latency_ms FROM r""",
+)
+def checkpointed(spark, sf_dir):
+    """SNK-01, SNK-02: three batches of responses, two of them with seeds that were asked again; the first two are played twice, and merged before the last."""
+    path = _folder(spark)
+    rows = all_runs(spark, sf_dir).select(F.col("model").alias("run"), "source_row", "run_id", "latency_ms")
+    again = lambda n, more: rows.where(F.col("source_row") % n == 0).withColumn("latency_ms", F.col("latency_ms") + more)
+    batches = [rows, again(3, 2), again(5, 1)]
+    for number in (0, 1, 0, 1):
+        results.append(batches[number], path, number, buckets=8)
+    results.compact(spark, path, buckets=8)
+    results.append(batches[2], path, 2, buckets=8)
+    return results.read(spark, path)
+
+
 @query("src03_rows", "SELECT * FROM (VALUES (0, 'a', 1), (1, 'b', 2)) v(row_id, question, answer)")
 def rows(spark, sf_dir):
     return tables.load(spark, ["question"], ["answer"], rows=[{"question": "a", "answer": 1}, {"question": "b", "answer": 2}]).df.select("row_id", "question", "answer")

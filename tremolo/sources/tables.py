@@ -138,11 +138,6 @@ def read_models(spark: SparkSession, runs_dir: str, dataset: str, order: list[st
     return df.withColumn("model", model).where(~F.startswith("model", F.lit("_"))).withColumn("model_order", place)
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Responses by run and seed; a seed's rows are one partition, so a repeated seed is replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "source_row").parquet(path)
-
-
 def write_csv(df: DataFrame, path: str, places: int | None = 3) -> None:
     """One table as CSV, numbers rounded."""
     if places is not None:
