@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.levels import CAP
+from ..operators import attempts as A
 from ..operators import generate as G
 from ..plans.bridge import RUNS, TURNS, XFORM, turns, xform
 from ..plans.bridge import runs as all_runs
@@ -83,6 +85,59 @@ def models(spark, sf_dir):
     return found.groupBy("model", "model_order").agg(F.count("*").alias("n"))
 
 
+_REPLY = "CASE WHEN doc_id % 7 = 0 THEN '  ' WHEN doc_id % 5 = 0 THEN 'None' WHEN doc_id % 3 = 0 THEN NULL ELSE concat(' Reply ', CAST(doc_id AS VARCHAR(20)), chr(10)) END"
+_MADE = {  # what a reply r (null if it says nothing) makes of the fields s (source) and t (text)
+    "append": "coalesce(s || ' ' || t || chr(10) || r, s || ' ' || t)",
+    "wrap": "s || ' ' || coalesce(r, t)",
+    "task": "CASE WHEN r IS NULL THEN s || ' ' || t ELSE '[SOURCE] ' || r || chr(10) || chr(10) || 'Source:' || chr(10) || s || chr(10) || '[BODY] ' || t END",
+    "source": "s || ' ' || coalesce(r, t)",
+    "measure": "s || ' ' || t",
+    "decision": "coalesce(r, s || ' ' || t)",
+    "per_field": "s || ' ' || coalesce(r, t)",
+    "delimited": "s || ' ' || coalesce(r, t)",
+    "json": "s || ' ' || coalesce(r, t)",
+}
+_OK = {"measure": "true", "per_field": "true", "delimited": "true", "json": "true"}
+
+
+@query(
+    "gen02_strategies",
+    f"WITH d AS (SELECT doc_id, source AS s, trim(text) AS t, nullif(nullif(trim({_REPLY}, ' ' || chr(10)), ''), 'None') AS r FROM documents WHERE trim(coalesce(text, '')) NOT IN ('', 'nan', 'NaN')) "
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS strategy, {_OK.get(k, 'r IS NOT NULL')} AS ok, md5({v}) AS c FROM d" for k, v in _MADE.items()),
+)
+def strategies(spark, sf_dir):
+    """GEN-02: what every strategy makes of useful, blank, empty and absent replies."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("trim(coalesce(text, '')) NOT IN ('', 'nan', 'NaN')")
+    rows = docs.select("doc_id", A.fields_of(source=F.col("source"), body=F.col("text")).alias("f"), F.expr(_REPLY.replace("VARCHAR(20)", "STRING")).alias("r"))
+    said = F.coalesce("r", F.lit(""))
+    replies = {"per_field": F.array(F.lit("none"), "r"), "delimited": F.concat(F.lit("as asked\n[FIELD_1]\n\n[FIELD_2]\n"), said), "json": F.to_json(F.struct(F.nullif(F.nullif(F.regexp_replace(said, r"^\s+|\s+$", ""), F.lit("")), F.lit("None")).alias("field_2")))}
+    made = [F.struct(F.lit(k).alias("strategy"), A.payload(k, F.col("f"), replies.get(k, F.col("r"))).alias("p")) for k in _MADE]
+    return rows.select("doc_id", F.explode(F.array(*made)).alias("x")).select("doc_id", "x.strategy", "x.p.ok", F.md5("x.p.c").alias("c"))
+
+
+_ROUND = "CAST(conv_id * 7 + turn * 3 + level * 5 + attempt * 11 AS BIGINT)"
+
+
+@query(
+    "gen01_attempts",
+    f"""WITH p AS ({TURNS}), a AS (SELECT conv_id, turn, level, attempt, o, least({CAP}::DOUBLE, round(0.3::DOUBLE + level * 0.1::DOUBLE + 0.1::DOUBLE * (attempt - 1), 2)) AS temperature,
+        {_ROUND} % 4 < 2 AS gate, {_ROUND} % 5 < 3 AS level_gate FROM p, range(1, 6) l(level), range(1, 4) n(attempt)),
+    f AS (SELECT *, min(CASE WHEN gate AND level_gate THEN attempt END) OVER (PARTITION BY conv_id, turn, level) AS first FROM a)
+    SELECT conv_id, turn, level, attempt, temperature, gate, level_gate, md5(coalesce(o, '') || chr(10) || 'Note ' || attempt) AS c FROM f WHERE first IS NULL OR attempt <= first""",
+)
+def rounds(spark, sf_dir):
+    """GEN-01, WIN-06: cells asked in rounds, each only as long as it is not accepted; whole rows of every attempt."""
+    cells = turns(spark, sf_dir).select("conv_id", "turn", "o", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("level")).withColumn("base_temperature", F.round(0.3 + F.col("level") * 0.1, 2))
+
+    def respond(frontier):
+        n = F.expr(_ROUND)
+        made = A.payload("append", A.fields_of(text=F.coalesce("o", F.lit(""))), F.concat(F.lit("Note "), F.col("attempt").cast("string")))
+        return frontier.withColumns({"gate": n % 4 < 2, "level_gate": n % 5 < 3, "c": F.md5(made["c"])})
+
+    found = A.ask_until_accepted(cells, respond, _folder(spark), attempts=3)
+    return found.select("conv_id", "turn", "level", F.col("attempt").cast("long").alias("attempt"), "temperature", "gate", "level_gate", "c")
+
+
 @query("gen01_candidates", f"SELECT 35 * 2 * count(*) AS n FROM ({TURNS})")
 def candidates(spark, sf_dir):
     """GEN-01, GEN-11: seeds by families, levels and attempts."""

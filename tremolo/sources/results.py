@@ -117,3 +117,15 @@ def sink(path: str, buckets: int = BUCKETS):
 def follow(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
     """Appends what has arrived, batch by batch, and ends."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink(path, buckets)).trigger(availableNow=True).start()
+
+
+def once(spark: SparkSession, path: str, number: int, make) -> DataFrame:
+    """The table of that number: made (by make()) and written the first time, read afterwards. What it holds is never computed twice once it is in the ledger."""
+    name = f"{number:012d}"
+    fs, p = _entry(spark, path, name)
+    if not fs.exists(p):
+        df = make()
+        df.write.mode("overwrite").parquet(f"{path}/batches/{name}")
+        _commit(spark, path, name, batch=number, folder=f"batches/{name}", schema=df.schema.json())
+    entry = json.loads(spark.read.option("wholetext", True).text(str(p)).first().value)
+    return spark.read.schema(StructType.fromJson(json.loads(entry["schema"]))).parquet(f"{path}/{entry['folder']}")
