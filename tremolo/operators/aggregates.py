@@ -46,9 +46,11 @@ def entropy_weight(failed: Column, score: Column) -> Column:
 
     In one pass: with T the sum and S the sum of s ln s, the entropy of s / T is ln T - S / T.
     """
-    n = F.sum(failed.cast("long"))
-    total = F.sum(F.when(failed, score))
-    logs = F.sum(F.when(failed & (score > 0), score * F.ln(score)))
+    return entropy_of_sums(F.sum(failed.cast("long")), F.sum(F.when(failed, score)), F.sum(F.when(failed & (score > 0), score * F.ln(score))))
+
+
+def entropy_of_sums(n: Column, total: Column, logs: Column) -> Column:
+    """entropy_weight() of n failures with sum T and sum S of s ln s."""
     entropy = F.ln(F.when(total > 0, total)) - F.try_divide(F.coalesce(logs, F.lit(0.0)), F.when(total > 0, total))
     share = F.when(n > 1, entropy / F.ln(F.when(n > 1, n.cast("double")))).otherwise(0.0)
     return F.round(F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0.5)).when(F.coalesce(total, F.lit(0.0)) <= 0, F.lit(0.5)).otherwise(1 - 0.5 * share), 6)

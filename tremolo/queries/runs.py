@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators import bins, curation, meta, scoring, stress
+from ..operators import bins, curation, incremental, meta, quantiles, scoring, stress
 from ..plans.bridge import RUNS
 from ..plans.bridge import runs as bridge
+from ..sources import results
 from .registry import query
 
 R = f"WITH runs AS ({RUNS}), ok AS (SELECT * FROM runs WHERE gate)"
@@ -402,3 +403,41 @@ def until_accepted(spark, sf_dir):
     own = Window.partitionBy("source_row", "category", "level").orderBy("run_id")
     attempts = bridge(spark, sf_dir).select("source_row", "category", "level", "gate", (F.col("latency_ms") > 2500).alias("level_gate"), F.row_number().over(own).cast("long").alias("attempt")).withColumnRenamed("level", "target_level")
     return curation.until_accepted(attempts).groupBy("target_level").agg(F.count("*").alias("attempts"), F.max("attempt").alias("longest"))
+
+
+@query("agg22_exact_percentile", f"{R} SELECT model, level, round(quantile_cont(latency_ms, 0.95), 4) AS p95 FROM runs GROUP BY ALL")
+def exact_percentile(spark, sf_dir):
+    """AGG-22, AGG-47: the interpolated percentile by counting and refining ranges, no group in one buffer."""
+    return quantiles.exact(bridge(spark, sf_dir), "latency_ms", 0.95, "model", "level", name="p95").withColumn("p95", F.round("p95", 4))
+
+
+@query("agg22_sketched_percentile", f"{R} SELECT level, TRUE AS near FROM runs GROUP BY level")
+def sketched_percentile(spark, sf_dir):
+    """AGG-22: sketches of four models' runs, merged one after the other; whether each level's answer has its rank within 1 % of the 95th percentile."""
+    runs = bridge(spark, sf_dir)
+    parts = [quantiles.sketches(runs.where(F.col("model") == f"m{i}"), "latency_ms", "level") for i in range(4)]
+    stored = parts[0]
+    for new in parts[1:]:
+        stored = quantiles.merged(stored, new, "level")
+    # six rows
+    answers = F.broadcast(quantiles.of_sketches(stored, 0.95, "p95"))
+    share = lambda ok: F.avg(F.when(ok, 1.0).otherwise(0.0))
+    ranks = runs.join(answers, "level").groupBy("level").agg(share(F.col("latency_ms") < F.col("p95")).alias("below"), share(F.col("latency_ms") <= F.col("p95")).alias("up_to"))
+    return ranks.select("level", ((F.col("below") <= 0.96) & (F.col("up_to") >= 0.94)).alias("near"))
+
+
+_ASKED_AGAIN = f"""WITH runs AS (SELECT * REPLACE (CASE WHEN source_row % 5 = 0 THEN score / 2 ELSE score END AS score, CASE WHEN source_row % 5 = 0 THEN 1 - sim ELSE sim END AS sim) FROM ({RUNS}))"""
+
+
+@query(
+    "agg01_incremental",
+    f"""{_ASKED_AGAIN}, a AS (SELECT category, level, round(avg(CASE WHEN sim >= 0.8::DOUBLE THEN 1 ELSE 0 END), 4) AS accuracy, count(*) AS n FROM runs WHERE category IS NOT NULL AND level IS NOT NULL GROUP BY ALL) SELECT * FROM a""",
+)
+def incremental_accuracy(spark, sf_dir):
+    """AGG-01, AGG-12, AGG-19: sums kept by category and level over three appended batches of runs and one with seeds that were asked again; a batch reads itself and what it replaces."""
+    path = bins.work_folder(spark, "sums")
+    rows = bridge(spark, sf_dir).select(F.col("model").alias("run"), "source_row", "category", "level", "score", "sim")
+    again = rows.where("source_row % 5 = 0").withColumns({"score": F.col("score") / 2, "sim": 1 - F.col("sim")})
+    for number, batch in enumerate([*(rows.where(F.col("source_row") % 3 == i) for i in range(3)), again]):
+        incremental.take(batch, path, number, "category", "level")
+    return incremental.measures(incremental.current(spark, path)).select("category", "level", "accuracy", "n")

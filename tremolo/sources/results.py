@@ -55,9 +55,12 @@ def _commit(spark: SparkSession, path: str, name: str, **entry) -> bool:
     return True
 
 
+def _bucket(buckets: int, *keys):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
 def _put(df: DataFrame, folder: str, buckets: int) -> None:
-    bucket = F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")
-    df.withColumn("bucket", bucket).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    df.withColumn("bucket", _bucket(buckets, *KEYS)).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
 def append(df: DataFrame, path: str, batch: int, buckets: int = BUCKETS) -> bool:
@@ -70,9 +73,9 @@ def append(df: DataFrame, path: str, batch: int, buckets: int = BUCKETS) -> bool
     return _commit(spark, path, name, batch=batch, folder=f"batches/{name}", buckets=buckets, schema=df.schema.json())
 
 
-def read(spark: SparkSession, path: str, seed: tuple | None = None) -> DataFrame:
-    """The rows of the latest batch of each run and seed; of one (run, source_row) if it is given."""
-    entries = ledger(spark, path)
+def read(spark: SparkSession, path: str, seed: tuple | None = None, within: DataFrame | None = None, before: int | None = None) -> DataFrame:
+    """The rows of the latest batch of each run and seed; of one (run, source_row), or of those in a table, if they are given: only their buckets are read. before: of batches below a number."""
+    entries = [e for e in ledger(spark, path) if before is None or e["batch"] < before]
     if not entries:
         raise FileNotFoundError(f"no batch in {path}")
     rows = None
@@ -80,9 +83,13 @@ def read(spark: SparkSession, path: str, seed: tuple | None = None) -> DataFrame
         own = spark.read.schema(StructType.fromJson(json.loads(e["schema"])).add("bucket", IntegerType())).parquet(f"{path}/{e['folder']}")
         if seed is not None:
             wanted = [F.lit(v).cast(own.schema[k].dataType) for k, v in zip(KEYS, seed)]
-            own = own.where(F.col("bucket") == F.pmod(F.xxhash64(*wanted), F.lit(e["buckets"])))
+            own = own.where(F.col("bucket") == _bucket(e["buckets"], *wanted))
             for k, v in zip(KEYS, wanted):
                 own = own.where(F.col(k).eqNullSafe(v))
+        if within is not None:
+            # as many numbers as there are buckets at most
+            places = [r[0] for r in within.select(_bucket(e["buckets"], *KEYS)).distinct().collect()]
+            own = own.where(F.col("bucket").isin(places)).alias("o").join(within.alias("w"), [F.col(f"o.{k}").eqNullSafe(F.col(f"w.{k}")) for k in KEYS], "left_semi")
         own = own.drop("bucket").withColumn("_order", F.lit(order))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     if len(entries) == 1:
