@@ -8,7 +8,7 @@ from tremolo.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 WITH_PYTHON = {"txt19_difflib", "gat01_format_gate", "sim04_text"}
-WRITES = {"agg22_exact_percentile", "agg01_incremental", "snk02_results", "gen01_attempts", "src02_csv", "src01_csv_intake", "src05_models", "src01_intake", "src03_rows"}
+WRITES = {"stream_collapse", "agg22_exact_percentile", "agg01_incremental", "snk02_results", "gen01_attempts", "src02_csv", "src01_csv_intake", "src05_models", "src01_intake", "src03_rows"}
 
 
 def plan(df, executed=False) -> str:

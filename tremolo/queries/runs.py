@@ -10,6 +10,7 @@ from ..operators import bins, curation, incremental, meta, quantiles, scoring, s
 from ..plans.bridge import RUNS
 from ..plans.bridge import runs as bridge
 from ..sources import results
+from ..streaming import collapse
 from .registry import query
 
 R = f"WITH runs AS ({RUNS}), ok AS (SELECT * FROM runs WHERE gate)"
@@ -441,3 +442,18 @@ def incremental_accuracy(spark, sf_dir):
     for number, batch in enumerate([*(rows.where(F.col("source_row") % 3 == i) for i in range(3)), again]):
         incremental.take(batch, path, number, "category", "level")
     return incremental.measures(incremental.current(spark, path)).select("category", "level", "accuracy", "n")
+
+
+@query("stream_collapse", f"{R}, {_acc(src='runs')} SELECT category, {_first_below('0.8::DOUBLE * L0')} AS cp FROM acc, base")
+def stream_collapse(spark, sf_dir):
+    """AGG-07 as a stream: all runs arrive in files of their own order, events go through the ledger, the last one of each family stands."""
+    top = bins.work_folder(spark, "stream")
+    runs = bridge(spark, sf_dir).select(F.timestamp_millis(F.col("source_row") * 1000).alias("ts"), "category", "level", "sim")
+    runs.repartition(3).write.parquet(f"{top}/in")
+    baseline = A.level_accuracy(runs, "category").first()
+    if baseline is None:
+        return runs.select("category", F.lit(None).cast("string").alias("cp")).limit(0)
+    events = collapse.collapse_points(spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in"), baseline.L0, late="36500 days")
+    keyed = events.select(F.col("category").alias("run"), F.lit(0).cast("long").alias("source_row"), "cp")
+    keyed.writeStream.outputMode("append").option("checkpointLocation", f"{top}/checkpoint").foreachBatch(results.sink(f"{top}/out", 8)).trigger(availableNow=True).start().awaitTermination()
+    return results.read(spark, f"{top}/out").select(F.col("run").alias("category"), "cp")
