@@ -9,6 +9,7 @@ from ..functions import difflib_udf as dl
 from ..functions import levels as L
 from ..functions import text as T
 from ..operators import gates as G
+from ..operators import specs as S
 from ..operators import transforms as X
 from ..plans.bridge import TURNS, VECTORS, XFORM, frame, turns, xform
 from ..sources.registry import RULES, enabled
@@ -293,6 +294,13 @@ def spec_level(spark, sf_dir):
     return rows.select("doc_id", L.spec_level(own, "F").alias("level"), L.spec_score(own, "F").alias("score"))
 
 
+@query("lvl04_spec_table", f"{prepared(XFORM, 'doc_id')}, e AS (SELECT doc_id, ({SQL['ccr']})::DOUBLE AS ccr, ({SQL['lcs']})::DOUBLE AS lcs FROM t) SELECT doc_id, {_spec(['ccr', 'lcs'], 'F')} AS level FROM e")
+def spec_table_level(spark, sf_dir):
+    """LVL-03, LVL-04: the format family's levels by a join with the table of specifications."""
+    rows = xform(spark, sf_dir).select("doc_id", F.explode(F.create_map(F.lit("ccr"), T.ccr("o", "c"), F.lit("lcs"), T.layout("o", "c"))).alias("metric", "value")).withColumn("family", F.lit("F"))
+    return S.classify(rows, S.spec_table(spark), "doc_id").select("doc_id", "level")
+
+
 @query("lvl09_definition_level", f"WITH d AS (SELECT * FROM ({{}})) SELECT doc_id, {_cuts('score', L.DEFINITION_CUTS)} AS level FROM d".replace("{}", f"""WITH p AS ({XFORM}), m AS (SELECT doc_id, {", ".join(f"({FEATURES[k]})::DOUBLE AS {k}" for k in D.BOUNDS)} FROM p)
     SELECT doc_id, round((({" + ".join(f"{D.WEIGHTS[k]}::DOUBLE * {_normal(k)}" for k in D.BOUNDS)}) / {sum(D.WEIGHTS.values())!r}::DOUBLE)::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE AS score FROM m"""))
 def definition_level(spark, sf_dir):
