@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _t, any_of, let, r4
+from .text import _t, anchored, any_of, let, r4
 
 # Patterns, keyword lists, caps, bounds and weights of the scores.
 RULES = [
@@ -127,7 +127,7 @@ def struct_score(x) -> Column:
 
 
 def counted(x, feature: str) -> Column:
-    return F.regexp_count(_t(x), F.lit(f"(?is){COUNTED[feature]}")).cast("long")
+    return F.regexp_count(_t(x), F.lit(f"(?is){anchored(COUNTED[feature])}")).cast("long")
 
 
 def sentence_length(x) -> Column:

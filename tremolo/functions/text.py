@@ -75,6 +75,40 @@ def share(part: Column, whole: Column, empty: float) -> Column:
     return F.when(whole == 0, F.lit(empty)).otherwise(F.try_divide(part.cast("double"), whole.cast("double")))
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, those in brackets not split."""
+    out, depth, start = [], 0, 0
+    for i, ch in enumerate(pattern):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+    return [*out, pattern[start:]]
+
+
+def _first_letters(pattern: str) -> set[str]:
+    """The letters that a match may begin with."""
+    if pattern.startswith("(?:"):
+        depth = 0
+        for i, ch in enumerate(pattern):
+            depth += (ch == "(") - (ch == ")")
+            if not depth:
+                return set().union(*(_first_letters(a) for a in _alternatives(pattern[3:i])))
+    if not pattern[:1].isalpha():
+        raise ValueError(f"{pattern!r} does not begin with a letter")
+    return {pattern[0].lower()}
+
+
+def anchored(pattern: str) -> str:
+    """The same pattern, of which every alternative begins with a word bound: the bound and the first letters are tested once, before the alternatives are tried one after the other."""
+    every = _alternatives(pattern)
+    if not all(a.startswith(r"\b") for a in every):
+        raise ValueError(f"an alternative of {pattern!r} does not begin with a word bound")
+    bodies = [a[2:] for a in every]
+    letters = "".join(sorted(set().union(*map(_first_letters, bodies))))
+    return rf"\b(?=[{letters}])(?:{'|'.join(bodies)})"
+
+
 def squeeze(x) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(_t(x), r"(?U)\s+", " "))
@@ -325,9 +359,9 @@ def goal_type(x) -> Column:
         for where in (text, last):
             found = out
             for name, pattern in reversed(GOALS):
-                found = F.when(F.rlike(where, F.lit(pattern)), F.lit(name)).otherwise(found)
+                found = F.when(F.rlike(where, F.lit(anchored(pattern))), F.lit(name)).otherwise(found)
             # all patterns at once first: most texts have none
-            out = F.when(F.rlike(where, F.lit("|".join(p for _, p in GOALS))), found).otherwise(out)
+            out = F.when(F.rlike(where, F.lit(anchored("|".join(p for _, p in GOALS)))), found).otherwise(out)
         return out
 
     low = F.lower(_t(x))
