@@ -96,7 +96,15 @@ def kb_rows(spark, sf_dir):
     return runs(spark, sf_dir).where("category = 'N'").select("source_row", "run_id")
 
 
-@query("fil06_ambiguous")
+_PLAIN = r"trim(regexp_replace(replace({x}, '[QUESTION]', ''), '\s+', ' ', 'g'))"
+
+
+@query(
+    "fil06_ambiguous",
+    f"""WITH p AS ({TURNS}), r AS (SELECT conv_id, turn, coalesce(o, '') AS o, coalesce(o || ' ' || coalesce(c, '') || CASE WHEN conv_id % 3 = 0 THEN ' She also bought a lamp for $12.' ELSE ' Imagine he also paid $5.' END, '') AS c FROM p),
+    a AS (SELECT conv_id, turn, replace({_PLAIN.format(x='c')}, {_PLAIN.format(x='o')}, '') AS added FROM r)
+    SELECT conv_id, turn, NOT (regexp_matches(added, {_q(C.SAME_SUBJECT)}) AND regexp_matches(added, {_q(C.PRICE)}) AND NOT regexp_matches(added, {_q(C.SET_ASIDE)})) AS kept FROM a""",
+)
 def ambiguous(spark, sf_dir):
     rows = turns(spark, sf_dir).withColumns({"category": F.lit("Context Interference"), "c": F.concat("o", F.lit(" "), F.coalesce("c", F.lit("")), F.when(F.col("conv_id") % 3 == 0, " She also bought a lamp for $12.").otherwise(" Imagine he also paid $5."))})
     kept, dropped = C.drop_ambiguous(rows)

@@ -486,7 +486,14 @@ def hints(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", X.hint(names, F.col("l_linenumber")).alias("hint"))
 
 
-@query("gen11_core")
+_UNITS = f"list_sort(list_distinct(list_filter(regexp_extract_all(low, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: list_contains([{', '.join(_q(w) for w in T.UNIT_WORDS)}], w))))"
+
+
+@query(
+    "gen11_core",
+    f"""WITH p AS ({XFORM}), a AS (SELECT doc_id, o, lower(o) AS low FROM p), b AS (SELECT *, {_sentences('trim(low)')} AS ss FROM a), d AS (SELECT *, coalesce(ss[len(ss)], low) AS last FROM b)
+    SELECT doc_id, array_to_string(list_sort(list_distinct({_numbers('o')})), ',') AS numbers, array_to_string({_UNITS}, ',') AS units, {_GOAL} AS goal FROM d""",
+)
 def core(spark, sf_dir):
     """GEN-11: numbers, units and goal of each text."""
     return xform(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(F.array_distinct(T.numbers("o"))), ",").alias("numbers"), F.array_join(F.array_sort(T.units("o")), ",").alias("units"), T.goal_type("o").alias("goal"))
