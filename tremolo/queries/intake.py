@@ -28,7 +28,7 @@ def csv(spark, sf_dir):
     """SRC-02, SNK-03: a table written as CSV and read again."""
     path = _folder(spark)
     tables.write_csv(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal"), path)
-    return tables.read_csv(spark, path)
+    return tables.read_csv(spark, path, keep_empty=True)
 
 
 @query(

@@ -30,6 +30,8 @@ from pyspark.sql.types import StructType
 #: Splits at most. The driver plans all splits of a scan anyway, it keeps four numbers more of each; larger inputs need larger splits (spark.sql.files.maxPartitionBytes).
 MAX_SPLITS = 1_000_000
 CSV = {"escape": '"', "multiLine": "true"}
+#: What the parser puts for an empty field without quotes where quoted ones shall differ from it; no text is like it.
+NULL = "\u0000null\u0000"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -157,8 +159,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(edges.select("row_id", F.array_join("x.record", "\n").alias("record")))
 
 
-def read(spark: SparkSession, path: str, schema: StructType, name: str = "row_id") -> DataFrame:
-    """The columns of the schema, and the rows' numbers from 0 in their order in the files."""
+def read(spark: SparkSession, path: str, schema: StructType, name: str = "row_id", keep_empty: bool = False) -> DataFrame:
+    """The columns of the schema, and the rows' numbers from 0 in their order in the files. keep_empty: empty fields in quotes are empty texts, not null."""
     ddl = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema))
-    rows = records(spark, path).select("row_id", F.from_csv("record", ddl, CSV).alias("x"))
+    rows = records(spark, path).select("row_id", F.from_csv("record", ddl, {**CSV, "nullValue": NULL} if keep_empty else CSV).alias("x"))
     return rows.select(F.col("row_id").alias(name), *(F.col(f"x.c{i}").alias(f.name) for i, f in enumerate(schema)))
