@@ -1,7 +1,10 @@
 """Odd values, and plans whose tasks do not grow with the input."""
 
+import re
+
 import duckdb
 from oracle import connect, difference
+from pyspark.sql import functions as F
 
 from tremolo.catalog import ORACLES, QUERIES
 
@@ -15,3 +18,28 @@ def test_csv_of_odd_numbers_and_texts(spark, tmp_path):
         con.execute(f"INSERT INTO c VALUES (?, ?, {x}::DOUBLE)", [i, n])
     con.sql(f"COPY c TO '{tmp_path}/customer.parquet'")
     assert difference(QUERIES["src02_csv"], ORACLES["src02_csv"], spark, str(tmp_path), connect(str(tmp_path))) == ""
+
+
+def test_punctuation_hashes_a_text_once(spark):
+    """The draws are those of hashes of (text, place, seed), in time linear in the text."""
+    import time
+
+    from tremolo.operators import transforms as X
+
+    texts = ["", "a", "x" * 49 + ",", "x, y. " * 16 + "abcd", "é😀\n" * 60, "word, " * 3000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.punctuation("t", 7).alias("p"), F.expr("transform(sequence(0, greatest(1, int(length(t) div 50)) - 1), i -> struct(xxhash64(t, i, 7) as a, pmod(xxhash64(t, 7, i + 1000000), 4) as m, pmod(xxhash64(t, 7, i + 2000000), 2) as g))").alias("h")).collect()
+    for t, p, h in rows:
+        out = []
+        for i, x in enumerate(h):
+            s = t[i * 50 : None if i == len(h) - 1 else i * 50 + 50]
+            at = x.a % max(1, len(s))
+            if s and re.fullmatch(X.PUNCTUATION, s[at]):
+                s = s[:at] + s[at + 1 :] if x.g == 0 else s
+            elif s:
+                s = s[:at] + X.MARKS[x.m] + s[at:]
+            out.append(s)
+        assert p == "".join(out)
+    long = spark.range(1).select(F.repeat(F.lit("some words, "), 250_000).alias("t")).select(F.length(X.punctuation("t", 7)).alias("n"))
+    before = time.time()
+    assert long.first().n > 2_900_000
+    assert time.time() - before < 20
