@@ -36,11 +36,11 @@ def csv(spark, sf_dir):
     "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id::VARCHAR AS doc_id, nullif(text, '') AS text, lang FROM documents",
 )
 def csv_intake(spark, sf_dir):
-    """SRC-01: whole documents written as one CSV file of quoted texts with line breaks, read in splits and numbered."""
+    """SRC-01: whole documents written as CSV files of quoted texts with line breaks, in order, read in splits and numbered over all files."""
     path = _folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    # one file, so that splits begin inside of texts
-    docs.orderBy("doc_id").coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    # a file for each range of documents; large ones are cut into splits that begin inside of texts
+    docs.orderBy("doc_id").write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     got = tables.load(spark, ["text"], ["lang"], path=path).df
     return got.select("row_id", "doc_id", F.nullif("text", F.lit("")).alias("text"), "lang")
 

@@ -114,20 +114,23 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """row_id, record of every record but the headers."""
     starts, broken = scan(spark, path)
     shared = spark.sparkContext.broadcast(starts)
+    cut = set(broken)
     schema = "row_id long, block long, edge boolean, record string"
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch], edges: bool = False) -> Iterator[pa.RecordBatch]:
         def flush(rows):
             ids, blocks, edges, texts = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.int64()), pa.array(edges, pa.bool_()), pa.array(texts, pa.string())], names=["row_id", "block", "edge", "record"])
 
         def emit(n, block, edge, lines, last):
-            if n:  # not the header
+            if n and edge == edges:  # not the header
                 text = _text(lines)
                 rows.append((start.base + n - 1, block, edge, text[:-1] if last and text.endswith("\r") else text))
 
         at, rows, pending, start, n, state, first = None, [], [], None, 0, 0, False
         for file, block, lines, odd, empty in _parts(batches):
+            if edges and file not in cut:
+                continue
             if at != (file, block):
                 if pending:
                     emit(n, at[1], True, pending, False)
@@ -151,11 +154,11 @@ def records(spark: SparkSession, path: str) -> DataFrame:
             yield flush(rows)
 
     rows = _lines(spark, path)
-    whole = rows.mapInArrow(made, schema).where("NOT edge").select("row_id", "record")
+    whole = rows.mapInArrow(made, schema).select("row_id", "record")
     if not broken:
         return whole
-    pieces = rows.where(F.col("file").isin(broken)) if len(broken) <= 1000 else rows
-    edges = pieces.mapInArrow(made, schema).where("edge").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("block", "record"))).alias("x"))
+    # files are not left out by a condition on their names: Spark would cut fewer files into other splits than those that were scanned
+    edges = rows.mapInArrow(lambda b: made(b, True), schema).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("block", "record"))).alias("x"))
     return whole.unionByName(edges.select("row_id", F.array_join("x.record", "\n").alias("record")))
 
 
