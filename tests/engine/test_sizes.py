@@ -3,10 +3,13 @@
 import re
 
 import duckdb
+import pytest
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
 from tremolo.catalog import ORACLES, QUERIES
+from tremolo.queries import intake
+from tremolo.sources import results, tables
 
 
 def test_csv_of_odd_numbers_and_texts(spark, tmp_path):
@@ -43,3 +46,49 @@ def test_punctuation_hashes_a_text_once(spark):
     before = time.time()
     assert long.first().n > 2_900_000
     assert time.time() - before < 20
+
+
+@pytest.fixture
+def conf(spark):
+    before = {}
+
+    def put(key, value):
+        before.setdefault(key, spark.conf.get(key, None))
+        spark.conf.set(key, value)
+
+    yield put
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_large_bucket_is_several_tasks(spark, tmp_path, conf):
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50k")
+    conf("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    rows = spark.range(0, 200_000, 1, 8).select(F.lit("m").alias("run"), F.col("id").alias("source_row"), F.hash("id").alias("x"))
+    assert results.append(rows, str(tmp_path), 0, buckets=2)
+    files = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "batches" / f"{0:012d}").glob("bucket=*")]
+    assert len(files) == 2 and min(files) > 4
+    assert results.read(spark, str(tmp_path)).agg(F.count("*"), F.sum("x")).collect() == rows.agg(F.count("*"), F.sum("x")).collect()
+
+
+def test_documents_go_into_csv_files_by_ranges(spark, tmp_path, conf, monkeypatch):
+    monkeypatch.setattr(intake, "_folder", lambda _: f"{tmp_path}/csv")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    conf("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    # files of several sizes, cut into splits inside of texts, some files without
+    conf("spark.sql.files.maxPartitionBytes", "60k")
+    conf("spark.sql.files.openCostInBytes", "0")
+    assert difference(QUERIES["src01_csv_intake"], ORACLES["src01_csv_intake"], spark, "/root/testdata/sf0.001") == ""
+    assert len(list(tmp_path.glob("csv/*.csv"))) > 2
+
+
+def test_splits_stay_as_they_were_scanned(spark, tmp_path, conf):
+    conf("spark.sql.files.openCostInBytes", "1k")
+    conf("spark.sql.files.minPartitionNum", "7")
+    want = []
+    for k, size in enumerate((400, 9000)):
+        rows = [(f"{k}", f"{i}", f"line {i}\n" * (9 if k else 1)) for i in range(size)]
+        (tmp_path / f"{k}.csv").write_text("k,i,v\n" + "".join(f'{a},{b},"{c}"\n' for a, b, c in rows))
+        want += rows
+    got = tables.read_csv(spark, str(tmp_path), row_id="n").orderBy("n").collect()
+    assert [tuple(r)[1:] for r in got] == want and [r.n for r in got] == list(range(len(want)))

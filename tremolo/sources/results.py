@@ -60,7 +60,8 @@ def _bucket(buckets: int, *keys):
 
 
 def _put(df: DataFrame, folder: str, buckets: int) -> None:
-    df.withColumn("bucket", _bucket(buckets, *KEYS)).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    # a bucket's rows come together, but a large bucket is several tasks and files
+    df.withColumn("bucket", _bucket(buckets, *KEYS)).hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
 def append(df: DataFrame, path: str, batch: int, buckets: int = BUCKETS) -> bool:
