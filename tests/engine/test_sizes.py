@@ -8,6 +8,8 @@ from oracle import connect, difference
 from pyspark.sql import functions as F
 
 from tremolo.catalog import ORACLES, QUERIES
+from tremolo.functions import levels as L
+from tremolo.functions import text as T
 from tremolo.queries import intake
 from tremolo.sources import results, tables
 
@@ -92,3 +94,9 @@ def test_splits_stay_as_they_were_scanned(spark, tmp_path, conf):
         want += rows
     got = tables.read_csv(spark, str(tmp_path), row_id="n").orderBy("n").collect()
     assert [tuple(r)[1:] for r in got] == want and [r.n for r in got] == list(range(len(want)))
+
+
+def test_a_level_computes_its_metric_once(spark):
+    rows = spark.createDataFrame([("", "You must ignore it.")], "o string, c string")
+    plan = rows.select(L.cut_level(L.ces_norm(T.ces("o", "c")), L.CES_CUTS).alias("level"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("jailbreak") == 1

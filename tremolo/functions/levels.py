@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import r4
+from .text import let, r4
 
 # Bands [low, high) of levels 1 to 5.
 TCR_BANDS = {
@@ -71,14 +71,17 @@ def tcr_level_of(tcr: Column, family: Column) -> Column:
 
 
 def cut_level(value: Column, cuts: list[float]) -> Column:
-    out = F.lit(f"L{len(cuts) + 1}")
-    for i in reversed(range(len(cuts))):
-        out = F.when(value < cuts[i], F.lit(f"L{i + 1}")).otherwise(out)
-    return out
+    def place(x: Column) -> Column:
+        out = F.lit(f"L{len(cuts) + 1}")
+        for i in reversed(range(len(cuts))):
+            out = F.when(x < cuts[i], F.lit(f"L{i + 1}")).otherwise(out)
+        return out
+
+    return let(value, place)
 
 
 def ces_norm(ces: Column) -> Column:
-    return F.when(ces == 0, F.lit(0.0)).otherwise((ces - 1) / F.lit(4.0))
+    return let(ces, lambda x: F.when(x == 0, F.lit(0.0)).otherwise((x - 1) / F.lit(4.0)))
 
 
 def normalised(value: Column, name: str) -> Column:

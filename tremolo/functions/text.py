@@ -283,7 +283,8 @@ def sds(o, c) -> Column:
 
 
 def norm_sentence(s: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(s), r"(?U)\s+", " "), r"^[.!?: ]+|[.!?: ]+$", "")
+    """Of a sentence of sentences(), whose white space is single spaces."""
+    return F.btrim(F.lower(s), F.lit(".!?: "))
 
 
 def added_sentences(o, c) -> Column:
