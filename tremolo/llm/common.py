@@ -50,17 +50,26 @@ def work_dir(spark: SparkSession, name: str, listed: bool = True) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, rows: int = BATCH_ROWS, compression: str = "snappy") -> DataFrame:
+#: Spark's setting that deletes a query's shuffle files as soon as it has ended.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, rows: int = BATCH_ROWS, compression: str = "snappy", sweep: bool = False) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, fixes what each task made, survives lost executors.
 
     rows: of an Arrow batch meanwhile, so that batches of wide rows stay small.
+    sweep: what was shuffled for the table is deleted once it is written, not when the driver next collects garbage.
     """
     spark = df.sparkSession
-    path, before = work_dir(spark, name), bounded_batches(spark, rows)
+    path, before, swept = work_dir(spark, name), bounded_batches(spark, rows), spark.conf.get(SWEEP, None)
+    if sweep:
+        spark.conf.set(SWEEP, "true")
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        if sweep:
+            spark.conf.unset(SWEEP) if swept is None else spark.conf.set(SWEEP, swept)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ class EliasFano:
 
     DIRECTORY = 64
     #: Stretches that are kept decoded, the ones asked last.
-    KEPT = 256
+    KEPT = 16
 
     def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
@@ -81,7 +81,7 @@ class EliasFano:
         low = out.view("<u8").ravel()
         return low if self.low_bytes == 8 else (at.astype(np.uint64) << np.uint64(8 * self.low_bytes)) | low
 
-    def successors(self, wanted: np.ndarray, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    def successors(self, wanted: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """For each number (sorted), the place of the first one of the sequence that is not below it (n if there is none), and whether they are equal.
 
         Only the stretches of the sequence that the numbers fall into are decoded.

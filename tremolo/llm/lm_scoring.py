@@ -16,11 +16,14 @@ quantised discounted probabilities and backoff weights. It is written to a file
 and mapped into memory; queries are sorted and found by successor search within
 their context's range.
 
-Counting and scoring share one exchange: documents are kept as token blocks in
-the shared folder; a block sends each shard its distinct n-grams with their
-counts in training documents, the shard adds up all blocks' counts, builds its
-part of the trie, and answers each block. All training documents count, so what
-is gathered grows with the corpus; n-grams that repeat in a block travel once,
+Counting and scoring share one exchange for each level: documents are kept as
+token blocks in the shared folder; a block sends each shard its distinct n-grams
+with their counts in training documents, the shard adds up all blocks' counts,
+builds its part of the trie, and answers each block. The answers are written and
+what was shuffled for them is deleted before the next level, so disk holds one
+level's n-grams at a time; levels above 2 go through in PASSES ranges of shards,
+and blocks meet their answers in as many parts. All training documents count, so
+what is gathered grows with the corpus; n-grams that repeat in a block travel once,
 so a hot context weighs as much as its distinct followers. A word that precedes
 more than half of a shard's share of all tokens is a hot context: its followers
 are dealt to SPLIT parts, each a context of its own, and the parts' totals and
@@ -41,20 +44,25 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, distinct, mix, raw, spread, trim, written
+from .common import blocks, distinct, mix, spread, trim, written
 from .elias_fano import EliasFano
 
 #: Length of n-grams; bytes of text of a block; training and other tokens for each shard; one in so many documents is held out.
 ORDER, BLOCK, SHARD, HELD = 3, 4 << 20, 2_000_000, 10
 #: Shards' worth of tokens for each partition in which blocks meet their answers.
 MEET = 4
+#: Ranges of shards that a level above 2 is asked for one after the other, and parts of the blocks that are scored so.
+PASSES = 2
 #: What is taken from each count of an n-gram.
 DISCOUNT = 0.75
 #: Codes of probabilities: steps of log10, as 16 bits; the last code is 0.
@@ -65,6 +73,8 @@ START, END = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xE7037ED1A0B428DB)
 SPLIT, COUNT_SCALE, FREQUENT = 64, float(1 << 40), 512
 #: Bytes of waiting blobs that a shard keeps in memory; n-grams that it adds up at once.
 WAIT, MERGE = 16 << 20, 1_500_000
+#: What each code stands for.
+RESTORED = np.append(10 ** (-np.arange(ZERO) / STEP), 0.0)
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -73,7 +83,7 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 
 def restore(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes == ZERO, 0.0, 10 ** (-codes.astype(float) / STEP))
+    return RESTORED[codes]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -109,13 +119,13 @@ class NgramTrie:
         new[1:] = context[1:] != context[:-1]
         owner, first = np.cumsum(new) - 1, np.flatnonzero(new)
         total = np.add.reduceat(count, first) if len(first) else np.empty(0)
-        left = DISCOUNT * np.diff([*first, len(context)])
+        ends = np.append(first, len(context))
+        left = DISCOUNT * np.diff(ends)
         relative = (owner.astype(np.uint64) << np.uint64(32)) | follower.astype(np.uint64)
-        ends = np.array([*first, len(context)], dtype=np.uint64)
         scale = total.astype(float)
         if parts is not None and len(parts):
             scale[np.isin(context[first], parts)] = COUNT_SCALE
-        trie = cls(EliasFano.encode(context[first]), EliasFano.encode(ends), EliasFano.encode(relative), quantise((count - DISCOUNT) / scale[owner]), quantise(left / total))
+        trie = cls(EliasFano.encode(context[first]), EliasFano.encode(ends.astype(np.uint64)), EliasFano.encode(relative), quantise((count - DISCOUNT) / scale[owner]), quantise(left / total))
         trie.masses = (context[first], total.astype(float), left)
         return trie
 
@@ -157,22 +167,33 @@ class NgramTrie:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Token blocks: block, doc_ids, held, lengths (words and the end), ids (each token's place in words), words (sorted hashes), n, n_train, frequent (words that may be hot contexts, and how many tokens they precede)."""
+    """Token blocks: block, doc_ids, held, lengths (words and the end), ids (each token's place among the words by how often they occur, and these words' places in words), words (sorted hashes), n, n_train, frequent (words that may be hot contexts, and how many tokens they precede)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, one = WordHash(), np.array([END])
         for b in (x for y in batches for x in blocks([y], most=BLOCK)):
-            parts: list[np.ndarray] = []
-            for t in raw(b.column("text")):
-                parts += [memo.of(t.lower().split()), one]
-            lengths = [len(x) + 1 for x in parts[::2]]
-            words, ids, often = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            # copied, since Arrow splits the slice of an array wrongly
+            text = pc.fill_null(b.column("text"), "").cast(pa.large_string()).take(pa.array(np.arange(b.num_rows)))
+            split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+            flat, owner = split.flatten(), pc.list_parent_indices(split)
+            real = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end leaves an empty piece
+            found = flat.filter(real).dictionary_encode()
+            lengths = np.bincount(owner.filter(real).to_numpy(), minlength=b.num_rows) + 1
+            # two words of one hash are one word
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(found.dictionary))
+            words, place = np.unique(np.append(hashes, END), return_inverse=True)
+            end = np.cumsum(lengths) - 1
+            ids = np.full(int(lengths.sum()), place[-1], dtype=np.int64)
+            ids[np.delete(np.arange(len(ids)), end)] = place[found.indices.to_numpy()]
+            often, lengths = np.bincount(ids, minlength=len(words)), lengths.tolist()
+            ranked = np.argsort(-often, kind="stable")  # small numbers for frequent words compress better
+            rank = np.empty(len(words), dtype="<u4")
+            rank[ranked] = np.arange(len(words))
             top = np.flatnonzero((often * FREQUENT >= sum(lengths)) & (words != END))
             frequent = [{"word": w, "n": n} for w, n in zip([*words[top].view(np.int64).tolist(), -1], [*often[top].tolist(), len(lengths)])]  # -1: START
             held = b.column("held").to_pylist()
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([b.column("doc_id").to_pylist()], longs), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], longs), pa.array([_pack(ids.astype("<u4"))], pa.binary()), pa.array([EliasFano.encode(words).tobytes()], pa.binary()), pa.array([sum(lengths)], pa.int64()), pa.array([sum(n for n, h in zip(lengths, held) if not h)], pa.int64()), pa.array([frequent], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))],
+                [pa.array([uuid.uuid4().hex]), pa.array([b.column("doc_id").to_pylist()], longs), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], longs), pa.array([_pack(rank[ids], ranked.astype("<u4"))], pa.binary()), pa.array([EliasFano.encode(words).tobytes()], pa.binary()), pa.array([sum(lengths)], pa.int64()), pa.array([sum(n for n, h in zip(lengths, held) if not h)], pa.int64()), pa.array([frequent], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))],
                 names=["block", "doc_ids", "held", "lengths", "ids", "words", "n", "n_train", "frequent"],
             )
 
@@ -186,7 +207,8 @@ class _Block:
 
     def __init__(self, held: list[bool], lengths: list[int], ids: bytes, words: bytes, shards: int, hot: np.ndarray):
         self.hot = hot
-        self.words, self.ids = EliasFano.frombuffer(words).decode(), _unpack(ids)[0].astype(np.int64)
+        ranks, ranked = _unpack(ids)
+        self.words, self.ids = EliasFano.frombuffer(words).decode(), ranked.astype(np.int64)[ranks]
         self.lengths, self.shards = np.array(lengths, dtype=np.int64), shards
         self.train = ~np.repeat(np.array(held, dtype=bool), self.lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
@@ -217,8 +239,8 @@ class _Block:
         rank[order] = np.arange(len(order))
         return hashes[order], whole[order], order > v, rank[code]
 
-    def _contexts(self, order: int) -> tuple[np.ndarray, ...]:
-        """As _pairs() for longer contexts, which are not split."""
+    def _contexts(self, order: int) -> np.ndarray:
+        """The hash of each token's context of order - 1 words."""
         own = self.words[self.ids]
         before = np.concatenate([[START], own[:-1]]) if len(own) else own
         before[self.first] = START
@@ -227,21 +249,43 @@ class _Block:
             older = np.concatenate([[START], context[:-1]])
             older[self.first] = START
             context = mix(older * np.uint64(0x9E3779B97F4A7C15) + before)
-        hashes = distinct(context)
-        return hashes, np.zeros(len(hashes), dtype=np.uint64), np.zeros(len(hashes), dtype=bool), np.searchsorted(hashes, context)
-
-    def ngrams(self, order: int) -> None:
-        """Distinct (context, follower) pairs of an order, sorted, with their training counts; `group` leads from tokens to pairs."""
-        hashes, whole, part, context = self._pairs() if order == 2 else self._contexts(order)
+        return context
+
+    def _ranked(self, context: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As _pairs() has them, of hashes of contexts that are not split."""
+        at = np.argsort(context)
+        own = context[at]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = own[1:] != own[:-1]
+        place = np.empty(len(own), dtype=np.int64)
+        place[at] = np.cumsum(new) - 1
+        hashes = own[new]
+        return hashes, np.zeros(len(hashes), dtype=np.uint64), np.zeros(len(hashes), dtype=bool), place
+
+    def ngrams(self, order: int, start: int = 0, stop: int | None = None) -> None:
+        """Distinct (context, follower) pairs of an order, sorted, with their training counts; `group` leads from tokens to pairs.
+
+        start, stop: the shards whose contexts are wanted; of longer contexts no others are looked at.
+        """
+        ids, train = self.ids, self.train
+        if order == 2:
+            hashes, whole, part, context = self._pairs()
+        else:
+            context = self._contexts(order)
+            if (start, stop or self.shards) != (0, self.shards):
+                shard = self._shard(context)
+                mine = np.flatnonzero((shard >= start) & (shard < stop))
+                ids, train, context = ids[mine], train[mine], context[mine]
+            hashes, whole, part, context = self._ranked(context)
         # context, word and place in one number: values sort far faster than indirectly
-        bits = [max(1, len(x)).bit_length() for x in (hashes, self.words, self.ids)]
+        bits = [max(1, len(x)).bit_length() for x in (hashes, self.words, ids)]
         if sum(bits) <= 64:
             w, p = np.uint64(bits[1]), np.uint64(bits[2])
-            key = np.sort((((context.astype(np.uint64) << w) | self.ids.astype(np.uint64)) << p) | np.arange(len(self.ids), dtype=np.uint64))
+            key = np.sort((((context.astype(np.uint64) << w) | ids.astype(np.uint64)) << p) | np.arange(len(ids), dtype=np.uint64))
             at = (key & ((np.uint64(1) << p) - np.uint64(1))).astype(np.int64)
         else:
-            at = np.lexsort((self.ids, context))
-        r, i = context[at], self.ids[at]
+            at = np.lexsort((ids, context))
+        r, i = context[at], ids[at]
         c, f = hashes[r], (self.words[i] >> np.uint64(32)).astype(np.uint32)
         new_c = np.ones(len(r), dtype=bool)
         new_c[1:] = r[1:] != r[:-1]
@@ -254,7 +298,7 @@ class _Block:
         self.owner = (np.cumsum(new_c) - 1)[new]
         # contexts that are parts of a hot one, and that one
         self.part, self.whole = part[r[new_c]], whole[r[new_c]]
-        self.seen = np.bincount(place, weights=self.train[at], minlength=int(new.sum())).astype(np.uint32)
+        self.seen = np.bincount(place, weights=train[at], minlength=int(new.sum())).astype(np.uint32)
         self.sizes = np.bincount(self.owner, minlength=len(self.contexts)).astype(np.uint32)
         self.context_cuts = np.searchsorted(self._shard(self.contexts), np.arange(self.shards + 1))
         self.pair_cuts = np.concatenate([[0], np.cumsum(self.sizes)])[self.context_cuts].astype(np.int64)
@@ -264,8 +308,8 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if not len(a) or a.max() < 256 else np.uint32)
 
 
-def answers(table: DataFrame, shards: int, order: int, hot: np.ndarray) -> DataFrame:
-    """block, level, shard, probs, weights: of each n-gram that a block has in a shard.
+def answers(table: DataFrame, shards: int, level: int, hot: np.ndarray, start: int, stop: int) -> DataFrame:
+    """block, level, shard, probs, weights: of each n-gram of a level that a block has in a shard, for the shards from start to below stop.
 
     Level 1: counts. Rows without a block: level 0, a shard's distinct training words (n);
     level -1, hot contexts with the totals and backoff masses of the parts that a shard has.
@@ -276,18 +320,17 @@ def answers(table: DataFrame, shards: int, order: int, hot: np.ndarray) -> DataF
             for block, held, lengths, ids, words in zip(*(b.column(c).to_pylist() for c in ("block", "held", "lengths", "ids", "words"))):
                 trim()
                 x = _Block(held, lengths, ids, words, shards, hot)
-                for level in range(1, order + 1):
-                    if level > 1:
-                        x.ngrams(level)
-                    cuts, rows = (x.cuts if level == 1 else x.context_cuts), []
-                    for s in np.flatnonzero(np.diff(cuts)):
-                        lo, hi = cuts[s], cuts[s + 1]
-                        if level == 1:
-                            rows.append((s, pickle.dumps((EliasFano.encode(x.words[lo:hi]).tobytes(), _pack(_small(x.counts[lo:hi]))))))
-                        else:
-                            p, q = x.pair_cuts[s], x.pair_cuts[s + 1]
-                            rows.append((s, pickle.dumps((EliasFano.encode(x.contexts[lo:hi]).tobytes(), _pack(_small(x.sizes[lo:hi]), x.followers[p:q], _small(x.seen[p:q]), np.flatnonzero(x.part[lo:hi]).astype(np.uint32), x.whole[lo:hi][x.part[lo:hi]])))))
-                    yield pa.RecordBatch.from_arrays([pa.array([level] * len(rows), pa.int32()), pa.array([s for s, _ in rows], pa.int32()), pa.array([block] * len(rows)), pa.array([r for _, r in rows], pa.binary())], names=["level", "shard", "block", "asked"])
+                if level > 1:
+                    x.ngrams(level, start, stop)
+                cuts, rows = (x.cuts if level == 1 else x.context_cuts), []
+                for s in start + np.flatnonzero(np.diff(cuts[start : stop + 1])):
+                    lo, hi = cuts[s], cuts[s + 1]
+                    if level == 1:
+                        rows.append((s, pickle.dumps((EliasFano.encode(x.words[lo:hi]).tobytes(), _pack(_small(x.counts[lo:hi]))))))
+                    else:
+                        p, q = x.pair_cuts[s], x.pair_cuts[s + 1]
+                        rows.append((s, pickle.dumps((EliasFano.encode(x.contexts[lo:hi]).tobytes(), _pack(_small(x.sizes[lo:hi]), x.followers[p:q], _small(x.seen[p:q]), np.flatnonzero(x.part[lo:hi]).astype(np.uint32), x.whole[lo:hi][x.part[lo:hi]])))))
+                yield pa.RecordBatch.from_arrays([pa.array([level] * len(rows), pa.int32()), pa.array([s for s, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.string()), pa.array([r for _, r in rows], pa.binary())], names=["level", "shard", "block", "asked"])
 
     def words(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         w, c = pickle.loads(blob)
@@ -371,7 +414,7 @@ def answers(table: DataFrame, shards: int, order: int, hot: np.ndarray) -> DataF
             waiting.close()
 
     asked = table.select("block", "held", "lengths", "ids", "words").mapInArrow(ask, "level int, shard int, block string, asked binary")
-    dealt = asked.repartition(spread(table, 2 * shards * order), "level", "shard").sortWithinPartitions("level", "shard")
+    dealt = asked.repartition(spread(table, 2 * (stop - start)), "level", "shard").sortWithinPartitions("level", "shard")
     return dealt.mapInArrow(answer, "block string, level int, shard int, probs binary, weights binary, n long")
 
 
@@ -390,19 +433,22 @@ def _masses(heard: DataFrame) -> dict[int, tuple[float, float]]:
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    table = written(tokenised(docs), "tokens")
+    table = written(tokenised(docs), "tokens", sweep=True)
     sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("train")).first()
     shards, train = max(1, -(-sums["n"] // SHARD)), sums["train"]
     often = table.select(F.explode("frequent").alias("x")).groupBy("x.word").agg(F.sum("x.n").alias("n")).where(F.col("n") * 2 * shards > sums["n"])
     # more than 1 / (2 shards) of all tokens each: at most 2 * shards rows
     hot = np.sort(np.array([r.word for r in often.collect()], dtype=np.int64).view(np.uint64)) if shards > 1 else np.empty(0, dtype=np.uint64)
-    heard = written(answers(table, shards, order, hot), "answers", rows=100)
-    masses = _masses(heard)
-    distinct = heard.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    levels = []
+    for level in range(1, order + 1):
+        cuts = [i * shards // PASSES for i in range(PASSES + 1)] if level > 2 else [0, shards]
+        levels.append([written(answers(table, shards, level, hot, a, b), f"answers-{level}", rows=100, sweep=True) for a, b in zip(cuts, cuts[1:]) if a < b])
+    masses = _masses(levels[1][0]) if order > 1 else {}
+    distinct = levels[0][0].where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heard = reduce(DataFrame.unionByName, (x for y in levels for x in y)).where("level > 0")
     bottom = train + 0.1 * (distinct + 1)
-    meet = spread(table, -(-shards // MEET))  # tasks do not grow with the corpus
-    own = heard.where("level > 0").repartition(meet, "block").groupBy("block").agg(F.collect_list(F.struct("level", "shard", "probs", "weights")).alias("heard"))
-    rows = table.repartition(meet, "block").join(own, "block").select("doc_ids", "held", "lengths", "ids", "words", "heard.level", "heard.shard", "heard.probs", "heard.weights")
+    parts = min(PASSES, shards)
+    meet = spread(table, -(-shards // (MEET * parts)))  # tasks do not grow with the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -432,4 +478,10 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 each = [np.add.reduceat(v, x.first) for v in ((counts > 0)[x.ids].astype(np.int64), np.log10(p1), np.log10(p))]
                 yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(held, pa.bool_()), pa.array(x.lengths), pa.array(each[0]), pa.array([train] * len(docs_), pa.int64()), pa.array(each[1]), pa.array(each[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def met(i: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("block"), F.lit(parts)) == i
+        own = heard.where(mine).repartition(meet, "block").groupBy("block").agg(F.collect_list(F.struct("level", "shard", "probs", "weights")).alias("heard"))
+        rows = table.where(mine).repartition(meet, "block").join(own, "block").select("doc_ids", "held", "lengths", "ids", "words", "heard.level", "heard.shard", "heard.probs", "heard.weights")
+        return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    return reduce(DataFrame.unionByName, (written(met(i), "scores", rows=100, sweep=True) for i in range(parts)))
