@@ -96,6 +96,21 @@ def test_a_batch_reads_the_buckets_of_its_own_seeds(spark, tmp_path):
     assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
 
 
+def test_a_batch_that_replaces_nothing_moves_no_rows(spark, tmp_path):
+    path, rng = str(tmp_path / "d"), random.Random(3)
+    for number in range(3):
+        results.append(batch(spark, rng, range(number * 50, number * 50 + 60)), path, number, 4)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    none = results.read(spark, path, within=spark.createDataFrame([("z", n) for n in range(40)], "run string, source_row long"))
+    assert none.columns == results.read(spark, path).columns and none.count() == 0 and exchanges(none) == 0
+    # seeds that are asked for twice, that are in two batches, and null ones
+    some = spark.createDataFrame([("a", 5), ("a", 5), ("a", 55), ("b", 105), (None, 5), ("a", None), ("z", 1)], "run string, source_row long")
+    asked = {tuple(x) for x in some.collect()}
+    want = sorted((tuple(r) for r in results.read(spark, path).collect() if (r.run, r.source_row) in asked), key=str)
+    got = results.read(spark, path, within=some)
+    assert want and rows_of(got) == want
+
+
 def test_killed_between_sums_and_runs(spark, tmp_path, monkeypatch):
     path, rng = str(tmp_path / "c"), random.Random(2)
     first, second = batch(spark, rng, range(5)), batch(spark, rng, range(3, 8))

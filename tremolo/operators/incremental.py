@@ -30,23 +30,26 @@ def sums(runs: DataFrame, *by: str, cutoff: float = CUTOFF) -> DataFrame:
     score, sim = F.col("score"), F.col("sim")
     both = score.isNotNull() & sim.isNotNull()
     failed = both & (F.col("level") != "L0") & (sim < cutoff)
-    exact = lambda x, when=F.lit(True): F.coalesce(F.sum(F.when(when, x.cast("decimal(25,15)"))), F.lit(0)).cast(EXACT)
+    exact = lambda x, when=F.lit(True): F.coalesce(F.sum(F.when(when, F.col(x))), F.lit(0)).cast(EXACT)
     count = lambda when: F.sum(F.when(when, 1).otherwise(0)).cast(EXACT)
     log = F.when(score > 0, score * F.ln(F.when(score > 0, score))).otherwise(0.0)
     own = {
         "n": count(F.lit(True)),
         "hits": count(F.coalesce(sim >= cutoff, F.lit(False))),
         "n_score": count(score.isNotNull()),
-        "score": exact(score),
+        "score": exact("_score"),
         "n_sim": count(sim.isNotNull()),
-        "sim": exact(sim),
-        "top": exact(sim * score, both),
-        "bottom": exact(score, both),
+        "sim": exact("_sim"),
+        "top": exact("_product", both),
+        "bottom": exact("_score", both),
         "n_failed": count(F.coalesce(failed, F.lit(False))),
-        "failed": exact(score, failed),
-        "failed_log": exact(log, failed),
+        "failed": exact("_score", failed),
+        "failed_log": exact("_log", failed),
     }
-    return runs.dropna(subset=list(by)).groupBy(*by).agg(*(v.alias(k) for k, v in own.items()))
+    # a number becomes a decimal once, however many sums it goes into
+    decimals = {"_score": score, "_sim": sim, "_product": sim * score, "_log": F.when(failed, log)}
+    rows = runs.dropna(subset=list(by)).withColumns({k: v.cast("decimal(25,15)") for k, v in decimals.items()})
+    return rows.groupBy(*by).agg(*(v.alias(k) for k, v in own.items()))
 
 
 def _folder(path: str) -> str:
@@ -62,8 +65,7 @@ def take(batch: DataFrame, path: str, number: int, *by: str, cutoff: float = CUT
         new = sums(batch, *by, cutoff=cutoff)
         if not known:
             return new
-        seeds = batch.select(*results.KEYS).distinct()
-        old = results.read(spark, path, before=number, within=seeds)
+        old = results.read(spark, path, before=number, within=batch.select(*results.KEYS))
         minus = sums(old.select(batch.columns), *by, cutoff=cutoff).select(*by, *((-F.col(k)).alias(k) for k in SUMS))
         return _added(new.unionByName(minus), by)
 

@@ -8,7 +8,8 @@ and does nothing, or none and writes its files anew. What a killed writer left
 without an entry is never read.
 
 Readers take, of each run and seed, the rows of the latest batch that has any; who
-asks for one run and seed reads one bucket of each batch. compact() merges the batches up to now into one; it is
+asks for one run and seed reads one bucket of each batch; who asks for a table of them gets a small
+table of those that are there first, made of keys alone, so that a batch that replaces nothing moves no rows. compact() merges the batches up to now into one; it is
 a batch like others, numbered between the last one it holds and the next.
 
 A null seed or run is a seed or run of its own. Batches may be empty.
@@ -17,6 +18,7 @@ A null seed or run is a seed or run of its own. Batches may be empty.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,11 +77,14 @@ def append(df: DataFrame, path: str, batch: int, buckets: int = BUCKETS) -> bool
 
 
 def read(spark: SparkSession, path: str, seed: tuple | None = None, within: DataFrame | None = None, before: int | None = None) -> DataFrame:
-    """The rows of the latest batch of each run and seed; of one (run, source_row), or of those in a table, if they are given: only their buckets are read. before: of batches below a number."""
+    """The rows of the latest batch of each run and seed; of one (run, source_row), or of those in a table, if they are given: only their buckets are read. before: of batches below a number.
+
+    within is looked up at once: those of it that are there are written to a folder of their own under `wanted`.
+    """
     entries = [e for e in ledger(spark, path) if before is None or e["batch"] < before]
     if not entries:
         raise FileNotFoundError(f"no batch in {path}")
-    rows = None
+    rows, places = None, {}
     for order, e in enumerate(entries):
         own = spark.read.schema(StructType.fromJson(json.loads(e["schema"])).add("bucket", IntegerType())).parquet(f"{path}/{e['folder']}")
         if seed is not None:
@@ -89,16 +94,28 @@ def read(spark: SparkSession, path: str, seed: tuple | None = None, within: Data
                 own = own.where(F.col(k).eqNullSafe(v))
         if within is not None:
             # as many numbers as there are buckets at most
-            places = [r[0] for r in within.select(_bucket(e["buckets"], *KEYS)).distinct().collect()]
-            own = own.where(F.col("bucket").isin(places)).alias("o").join(within.alias("w"), [F.col(f"o.{k}").eqNullSafe(F.col(f"w.{k}")) for k in KEYS], "left_semi")
+            if (n := e["buckets"]) not in places:
+                places[n] = [r[0] for r in within.select(_bucket(n, *KEYS)).distinct().collect()]
+            if len(places[n]) < n:
+                own = own.where(F.col("bucket").isin(places[n]))
         own = own.drop("bucket").withColumn("_order", F.lit(order))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
-    if len(entries) == 1:
+    if within is None and len(entries) == 1:
         return rows.drop("_order")
     # a row for each run and seed, so that rows themselves need not be gathered
-    latest = rows.groupBy(*KEYS).agg(F.max("_order").alias("_order")).alias("l")
+    if within is None:
+        latest = rows.groupBy(*KEYS).agg(F.max("_order").alias("_order"))
+    else:
+        asked = within.select(*(F.col(k).cast(rows.schema[k].dataType).alias(k) for k in KEYS), F.lit(None).cast("int").alias("_order"), F.lit(True).alias("_asked"))
+        every = rows.select(*KEYS, "_order", F.lit(False).alias("_asked")).unionByName(asked)
+        latest = every.groupBy(*KEYS).agg(F.max("_order").alias("_order"), F.max("_asked").alias("_asked")).where("_asked AND _order IS NOT NULL").drop("_asked")
+        folder = f"{path}/wanted/{uuid.uuid4().hex}"
+        latest.write.parquet(folder)
+        latest = spark.read.schema(latest.schema).parquet(folder)
+        if latest.isEmpty():
+            return rows.where(F.lit(False)).drop("_order")
     mine = [F.col("r._order") == F.col("l._order"), *(F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in KEYS)]
-    return rows.alias("r").join(latest, mine, "left_semi").drop("_order")
+    return rows.alias("r").join(latest.alias("l"), mine, "left_semi").drop("_order")
 
 
 def compact(spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
