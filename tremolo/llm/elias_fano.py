@@ -33,12 +33,14 @@ class EliasFano:
         low_bytes = min(7, bits // 8)
         if (int(values[-1]) >> 8 * low_bytes) > 8 * n + 64:
             low_bytes += 1
-        low = values.view(np.uint8).reshape(n, 8)[:, :low_bytes]
+        low = np.empty(n * low_bytes, dtype=np.uint8)
+        if low_bytes:
+            low.view(f"V{low_bytes}")[:] = np.ndarray(n, f"V{low_bytes}", values, strides=(8,))
         at = (values >> np.uint64(8 * low_bytes)).astype(np.int64) if low_bytes < 8 else np.zeros(n, dtype=np.int64)
-        at = at + np.arange(n)
-        high = np.zeros(int(at[-1]) // 8 + 1, dtype=np.uint8)
-        np.bitwise_or.at(high, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return cls(n, low_bytes, np.ascontiguousarray(low).ravel(), high)
+        at += np.arange(n)
+        bits = np.zeros(int(at[-1]) + 1, dtype=bool)
+        bits[at] = True
+        return cls(n, low_bytes, low, np.packbits(bits, bitorder="little"))
 
     def tobytes(self) -> bytes:
         return np.array([self.n, self.low_bytes, len(self.high)], dtype="<i8").tobytes() + self.low.tobytes() + self.high.tobytes()
@@ -74,12 +76,16 @@ class EliasFano:
         a = int(np.searchsorted(ones, start, side="right")) - 1
         b = int(np.searchsorted(ones, stop - 1, side="right"))
         lo = a * self.DIRECTORY
-        at = np.flatnonzero(np.unpackbits(self.high[lo : b * self.DIRECTORY], bitorder="little")) + lo * 8
-        at = at[start - int(ones[a]) : stop - int(ones[a])] - np.arange(start, stop)
-        out = np.zeros((stop - start, 8), dtype=np.uint8)
-        out[:, : self.low_bytes] = self.low[start * self.low_bytes : stop * self.low_bytes].reshape(stop - start, self.low_bytes)
-        low = out.view("<u8").ravel()
-        return low if self.low_bytes == 8 else (at.astype(np.uint64) << np.uint64(8 * self.low_bytes)) | low
+        # of truth values, places are found far faster than of numbers
+        at = np.flatnonzero(np.unpackbits(self.high[lo : b * self.DIRECTORY], bitorder="little").view(bool))
+        at = at[start - int(ones[a]) : stop - int(ones[a])] - np.arange(start - lo * 8, stop - lo * 8)
+        out = np.zeros(stop - start, dtype="<u8")
+        if self.low_bytes:
+            kind = f"V{self.low_bytes}"
+            np.ndarray(stop - start, kind, out, strides=(8,))[:] = self.low[start * self.low_bytes : stop * self.low_bytes].view(kind)
+        if self.low_bytes < 8:
+            out |= at.astype(np.uint64) << np.uint64(8 * self.low_bytes)
+        return out
 
     def successors(self, wanted: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """For each number (sorted), the place of the first one of the sequence that is not below it (n if there is none), and whether they are equal.

@@ -88,16 +88,24 @@ def restore(codes: np.ndarray) -> np.ndarray:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays, each as planes of bytes, compressed."""
-    z = zstandard.ZstdCompressor(level=1)
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays]
-    return pickle.dumps([(a.dtype.str, len(a), z.compress(p)) for a, p in zip(arrays, planes)])
+    z, out = zstandard.ZstdCompressor(level=1), []
+    for a in arrays:
+        each, planes = np.ascontiguousarray(a).view(np.uint8), np.empty((a.itemsize, len(a)), dtype=np.uint8)
+        for i in range(a.itemsize):
+            planes[i] = each[i :: a.itemsize]
+        out.append((a.dtype.str, len(a), z.compress(planes)))
+    return pickle.dumps(out)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
     z, out = zstandard.ZstdDecompressor(), []
     for kind, n, data in pickle.loads(blob):
-        planes = np.frombuffer(z.decompress(data), dtype=np.uint8) if n else np.empty(0, dtype=np.uint8)
-        out.append(np.ascontiguousarray(planes.reshape(-1, n).T).view(kind).ravel() if n else np.empty(0, dtype=kind))
+        a = np.empty(n, dtype=kind)
+        if n:
+            each, planes = a.view(np.uint8), np.frombuffer(z.decompress(data), dtype=np.uint8).reshape(a.itemsize, n)
+            for i in range(a.itemsize):
+                each[i :: a.itemsize] = planes[i]
+        out.append(a)
     return out
 
 
@@ -179,7 +187,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
             found = flat.filter(real).dictionary_encode()
             lengths = np.bincount(owner.filter(real).to_numpy(), minlength=b.num_rows) + 1
             # two words of one hash are one word
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(found.dictionary))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(found.dictionary))
             words, place = np.unique(np.append(hashes, END), return_inverse=True)
             end = np.cumsum(lengths) - 1
             ids = np.full(int(lengths.sum()), place[-1], dtype=np.int64)
@@ -212,9 +220,12 @@ class _Block:
         self.lengths, self.shards = np.array(lengths, dtype=np.int64), shards
         self.train = ~np.repeat(np.array(held, dtype=bool), self.lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
-        self.counts = np.bincount(self.ids[self.train], minlength=len(self.words))
         self.cuts = np.searchsorted(self._shard(self.words), np.arange(shards + 1))
 
+    def counts(self) -> np.ndarray:
+        """Of each word, in training documents."""
+        return np.bincount(self.ids[self.train], minlength=len(self.words))
+
     def _shard(self, hashes: np.ndarray) -> np.ndarray:
         """Sorted hashes have sorted shards."""
         return ((hashes >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
@@ -263,7 +274,7 @@ class _Block:
         return hashes, np.zeros(len(hashes), dtype=np.uint64), np.zeros(len(hashes), dtype=bool), place
 
     def ngrams(self, order: int, start: int = 0, stop: int | None = None) -> None:
-        """Distinct (context, follower) pairs of an order, sorted, with their training counts; `group` leads from tokens to pairs.
+        """Distinct (context, follower) pairs of an order, sorted; seen() has their training counts, group() leads from tokens to pairs.
 
         start, stop: the shards whose contexts are wanted; of longer contexts no others are looked at.
         """
@@ -281,27 +292,44 @@ class _Block:
         bits = [max(1, len(x)).bit_length() for x in (hashes, self.words, ids)]
         if sum(bits) <= 64:
             w, p = np.uint64(bits[1]), np.uint64(bits[2])
-            key = np.sort((((context.astype(np.uint64) << w) | ids.astype(np.uint64)) << p) | np.arange(len(ids), dtype=np.uint64))
-            at = (key & ((np.uint64(1) << p) - np.uint64(1))).astype(np.int64)
+            key = context.astype(np.uint64) << w
+            key |= ids.astype(np.uint64)
+            key <<= p
+            key |= np.arange(len(ids), dtype=np.uint64)
+            key.sort()
+            self.at = (key & ((np.uint64(1) << p) - np.uint64(1))).astype(np.int64)
+            key >>= p
+            new = np.ones(len(key), dtype=bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            key = key[new]
+            r, i = (key >> w).astype(np.int64), (key & ((np.uint64(1) << w) - np.uint64(1))).astype(np.int64)
         else:
-            at = np.lexsort((ids, context))
-        r, i = context[at], ids[at]
-        c, f = hashes[r], (self.words[i] >> np.uint64(32)).astype(np.uint32)
-        new_c = np.ones(len(r), dtype=bool)
-        new_c[1:] = r[1:] != r[:-1]
-        new = new_c.copy()
-        new[1:] |= i[1:] != i[:-1]
-        place = np.cumsum(new) - 1
-        self.group = np.empty(len(at), dtype=np.int64)
-        self.group[at] = place
-        self.followers, self.contexts = f[new], c[new_c]
-        self.owner = (np.cumsum(new_c) - 1)[new]
+            self.at = np.lexsort((ids, context))
+            r, i = context[self.at], ids[self.at]
+            new = np.ones(len(r), dtype=bool)
+            new[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])
+            r, i = r[new], i[new]
+        self.new, self.trained = new, train
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.empty(0, dtype=np.int64)
+        self.followers = (self.words >> np.uint64(32)).astype(np.uint32)[i]
+        own = r[first]
+        self.contexts = hashes[own]
         # contexts that are parts of a hot one, and that one
-        self.part, self.whole = part[r[new_c]], whole[r[new_c]]
-        self.seen = np.bincount(place, weights=train[at], minlength=int(new.sum())).astype(np.uint32)
-        self.sizes = np.bincount(self.owner, minlength=len(self.contexts)).astype(np.uint32)
+        self.part, self.whole = part[own], whole[own]
+        ends = np.append(first, len(r))
+        self.sizes = np.diff(ends).astype(np.uint32)
         self.context_cuts = np.searchsorted(self._shard(self.contexts), np.arange(self.shards + 1))
-        self.pair_cuts = np.concatenate([[0], np.cumsum(self.sizes)])[self.context_cuts].astype(np.int64)
+        self.pair_cuts = ends[self.context_cuts]
+
+    def seen(self) -> np.ndarray:
+        """Each pair's count in training documents."""
+        return np.bincount(np.cumsum(self.new)[self.trained[self.at]] - 1, minlength=len(self.followers)).astype(np.uint32)
+
+    def group(self) -> np.ndarray:
+        """Each token's pair by its place."""
+        out = np.empty(len(self.at), dtype=np.int64)
+        out[self.at] = np.cumsum(self.new) - 1
+        return out
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -322,14 +350,15 @@ def answers(table: DataFrame, shards: int, level: int, hot: np.ndarray, start: i
                 x = _Block(held, lengths, ids, words, shards, hot)
                 if level > 1:
                     x.ngrams(level, start, stop)
+                counts, seen = (x.counts(), None) if level == 1 else (None, x.seen())
                 cuts, rows = (x.cuts if level == 1 else x.context_cuts), []
                 for s in start + np.flatnonzero(np.diff(cuts[start : stop + 1])):
                     lo, hi = cuts[s], cuts[s + 1]
                     if level == 1:
-                        rows.append((s, pickle.dumps((EliasFano.encode(x.words[lo:hi]).tobytes(), _pack(_small(x.counts[lo:hi]))))))
+                        rows.append((s, pickle.dumps((EliasFano.encode(x.words[lo:hi]).tobytes(), _pack(_small(counts[lo:hi]))))))
                     else:
                         p, q = x.pair_cuts[s], x.pair_cuts[s + 1]
-                        rows.append((s, pickle.dumps((EliasFano.encode(x.contexts[lo:hi]).tobytes(), _pack(_small(x.sizes[lo:hi]), x.followers[p:q], _small(x.seen[p:q]), np.flatnonzero(x.part[lo:hi]).astype(np.uint32), x.whole[lo:hi][x.part[lo:hi]])))))
+                        rows.append((s, pickle.dumps((EliasFano.encode(x.contexts[lo:hi]).tobytes(), _pack(_small(x.sizes[lo:hi]), x.followers[p:q], _small(seen[p:q]), np.flatnonzero(x.part[lo:hi]).astype(np.uint32), x.whole[lo:hi][x.part[lo:hi]])))))
                 yield pa.RecordBatch.from_arrays([pa.array([level] * len(rows), pa.int32()), pa.array([s for s, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.string()), pa.array([r for _, r in rows], pa.binary())], names=["level", "shard", "block", "asked"])
 
     def words(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -473,8 +502,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         w[x.part] = np.where(total > 0, left / np.maximum(total, 1), 1.0)
                         scale = np.ones(len(x.contexts))
                         scale[x.part] = COUNT_SCALE / np.maximum(total, 1)
-                        a *= scale[x.owner]
-                    p = a[x.group] + w[x.owner][x.group] * p
+                        a *= np.repeat(scale, x.sizes)
+                    group = x.group()
+                    p = a[group] + np.repeat(w, x.sizes)[group] * p
                 each = [np.add.reduceat(v, x.first) for v in ((counts > 0)[x.ids].astype(np.int64), np.log10(p1), np.log10(p))]
                 yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(held, pa.bool_()), pa.array(x.lengths), pa.array(each[0]), pa.array([train] * len(docs_), pa.int64()), pa.array(each[1]), pa.array(each[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
